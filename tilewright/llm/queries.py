@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import chat_format, decontaminate, near_dedup
+from tilewright.llm import byte_bpe, chat_format, decontaminate, near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_chat_format": chat_format.op3_chat_format,
+        "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
