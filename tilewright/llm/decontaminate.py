@@ -89,42 +89,46 @@ def find_contamination(
     only those found in the hash set are grouped, by document.
     """
     grams, lengths = benchmark_windows(benchmark, item_col, item_text_col, window)
-    size = grams.select(F.count("*"), F.coalesce(F.sum(F.octet_length("gram") + 40 * F.size("items")), F.lit(0))).first()
-    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
     own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     keyed = own.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     if not lengths:
         return keyed.select(
             "id", F.size("w").alias("n_words"), F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items")
         )
-    scanned = (
-        keyed.select("id", "th", _hashes(F.col("w")).alias("hs"))
-        .select("id", "th", F.explode(F.concat(*[_window_hashes(F.col("hs"), n) for n in lengths])).alias("at"))
-        .select("id", "th", "at.pos", "at.len", "at.h")
-    )
-    found = (
-        scanned.join(grams, ["h", "len"])
-        .groupBy("id", "th")
-        .agg(F.collect_set(F.struct("pos", "len", "gram", "items")).alias("found"))
-        .withColumnsRenamed({"id": "f_id", "th": "f_th"})
+    # A mark of length 0 goes with each document's windows, so that one scan gives the clean documents too.
+    mark = F.array(F.struct(F.size("w").alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("h")))
+    windows = F.concat(mark, *[_window_hashes(F.col("hs"), n) for n in lengths])
+    one = docs.sparkSession.range(1)
+    grams = grams.unionByName(
+        one.select(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("len"), F.lit("").alias("gram"), F.array().cast("array<string>").alias("items"))
     )
-    joined = keyed.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
-    verified = joined.select(
-        "id",
-        F.size("w").alias("n_words"),
-        F.filter("found", lambda c: F.array_join(F.slice("w", c["pos"] + 1, c["len"]), " ") == c["gram"]).alias("hits"),
+    hashed = keyed.select("id", "th", "w", _hashes(F.col("w")).alias("hs"))
+    same = (F.col("len") == 0) | (F.array_join(F.slice("w", F.col("pos") + 1, F.col("len")), " ") == F.col("gram"))
+    size = grams.select(F.count("*"), F.sum(F.octet_length("gram") + 40 * F.size("items"))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES:
+        # the words stay in the task's own row: only windows that are found are written out
+        scanned = hashed.select("id", "th", "w", F.explode(windows).alias("at")).select("id", "th", "w", "at.*")
+        hits = scanned.join(F.broadcast(grams), ["h", "len"]).where(same)
+    else:
+        scanned = hashed.select("id", "th", F.explode(windows).alias("at")).select("id", "th", "at.*")
+        found = scanned.where("len > 0").join(grams, ["h", "len"])
+        texts = keyed.select(F.col("id").alias("w_id"), F.col("th").alias("w_th"), "w").dropDuplicates(["w_id", "w_th"])
+        hits = found.join(texts, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).where(same)
+        marks = keyed.select("id", "th", F.size("w").alias("pos"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))
+        hits = hits.select(marks.columns).unionByName(marks)
+    by_document = hits.groupBy("id", "th").agg(
+        F.count_if(F.col("len") == 0).cast("int").alias("rows"),
+        F.max(F.when(F.col("len") == 0, F.col("pos"))).alias("n_words"),
+        F.collect_set(F.when(F.col("len") > 0, F.struct("pos", "len", "items"))).alias("hits"),
     )
     covered = F.flatten(F.transform("hits", lambda c: F.sequence(c["pos"], c["pos"] + c["len"] - 1)))
-    return verified.select(
+    return by_document.select(
         "id",
         "n_words",
-        F.coalesce(F.array_sort(F.array_distinct(covered)), F.array().cast("array<int>")).alias("hit_words"),
-        F.coalesce(
-            F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"])))),
-            F.array().cast("array<string>"),
-        ).alias("items"),
-    )
+        F.array_sort(F.array_distinct(covered)).alias("hit_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"])))).alias("items"),
+        F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("row"),
+    ).drop("row")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
