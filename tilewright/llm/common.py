@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once, also inside lambdas, where Spark repeats common expressions."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def running_total(lengths: Column, block: int = 64) -> Column:
     """Inclusive running totals of an integer array, as an array of bigint.
 
@@ -37,21 +43,30 @@ def running_total(lengths: Column, block: int = 64) -> Column:
     """
     zero = F.lit(0).cast("bigint")
     add = lambda total, x: total + x
-    n = F.size(lengths)
-    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    sums = F.transform(blocks, lambda k: F.aggregate(F.slice(lengths, k * block + 1, F.lit(block)), zero, add))
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda k: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(block), n - k * block)),
-                lambda j: F.aggregate(F.slice(sums, F.lit(1), k), zero, add)
-                + F.aggregate(F.slice(lengths, k * block + 1, j), zero, add),
+    total = lambda array: F.aggregate(array, zero, add)
+
+    def of(own: Column) -> Column:
+        n = F.size(own)
+        blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(blocks, lambda k: total(F.slice(own, k * block + 1, F.lit(block))))
+
+        def within(k: Column, base: Column, part: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(part)), lambda j: base + total(F.slice(part, F.lit(1), j)))
+
+        return let(
+            sums,
+            lambda sums: F.flatten(
+                F.transform(
+                    blocks,
+                    lambda k: let(
+                        total(F.slice(sums, F.lit(1), k)),
+                        lambda base: let(F.slice(own, k * block + 1, F.lit(block)), lambda part: within(k, base, part)),
+                    ),
+                )
             ),
         )
-    )
+
+    return let(lengths, of)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import byte_bpe, chat_format, decontaminate, near_dedup, toxicity
+from tilewright.llm import byte_bpe, chat_format, decontaminate, near_dedup, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": chat_format.op3_chat_format,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
