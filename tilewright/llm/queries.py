@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import byte_bpe, chat_format, decontaminate, fingerprint, near_dedup, secrets, toxicity
+from tilewright.llm import byte_bpe, chat_format, decontaminate, fingerprint, near_dedup, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
