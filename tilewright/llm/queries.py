@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import byte_bpe, chat_format, decontaminate, fingerprint, near_dedup, secrets, substring_dedup, toxicity
+from tilewright.llm import byte_bpe, chat_format, decontaminate, fingerprint, near_dedup, quality, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_quality": quality.op4_quality,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
