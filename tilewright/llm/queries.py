@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import byte_bpe, chat_format, decontaminate, fingerprint, near_dedup, quality, secrets, substring_dedup, toxicity
+from tilewright.llm import byte_bpe, chat_format, decontaminate, fingerprint, lm_score, near_dedup, quality, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": lm_score.op1_lm_score,
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_quality": quality.op4_quality,
