@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm import byte_bpe, chat_format, decontaminate, fingerprint, lm_score, near_dedup, quality, secrets, substring_dedup, toxicity
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
