@@ -113,26 +113,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text's last half is the beginning of the next document. Each
     text is shuffled once, and of the next document's only as much as is put in.
     """
-    own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    own, unnamed = given.where("id IS NOT NULL"), given.where("id IS NULL")
     order = cut(next_ids(own.groupBy("id").agg(F.max(F.char_length("text")).alias("n"))))
     rows = own.withColumn("tie", F.row_number().over(Window.partitionBy("id").orderBy("text")))
-    heads = rows.where("tie = 1").select(F.col("id").alias("head_id"), F.col("text").alias("head"))
-    put = order.join(heads, F.col("next_id") == F.col("head_id")).select(
-        F.col("id").alias("put_id"), "next_id", F.substring("head", F.lit(1), F.floor(F.col("n") / 2).cast("int")).alias("put")
-    )
+    # `own` is the same plan here and in `rows`, so that its exchange is made once
+    heads = order.alias("o").join(own.alias("h"), F.col("o.next_id") == F.col("h.id"))
+    put = heads.select(F.col("o.id").alias("put_id"), "o.next_id", F.substring("h.text", F.lit(1), F.floor(F.col("o.n") / 2).cast("int")).alias("put"))
+    put = put.groupBy("put_id", "next_id").agg(F.min("put").alias("put"))  # of the first text, where several share an id
     n = F.char_length("text")
-    kept = F.when(F.col("put_id").isNull(), n).otherwise(n - F.floor(n / 2)).cast("int")
-    edited = F.concat(
-        F.substring("text", F.lit(1), kept), F.coalesce(F.substring("put", F.lit(1), F.floor(n / 2).cast("int")), F.lit(""))
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("put", F.lit(1), half))
+    both = rows.join(put, F.col("id") == F.col("put_id")).select("id", "tie", "next_id", n.alias("n_chars"), "text", edited.alias("edited"))
+    alone = unnamed.select(
+        "id",
+        F.row_number().over(Window.partitionBy("text").orderBy("id")).alias("tie"),
+        F.col("id").alias("next_id"),
+        n.alias("n_chars"),
+        "text",
+        F.col("text").alias("edited"),
     )
-    both = rows.join(put, F.col("id") == F.col("put_id"), "left").select("id", "tie", "next_id", n.alias("n_chars"), "text", edited.alias("edited"))
     keys = ["id", "tie", "next_id", "n_chars", "edited_sha256", "which"]
-    texts = both.select(
-        "id", "tie", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("which", "own")
-    )
-    each = with_fingerprints(texts, keys, "own")
     pick = lambda c, k: F.max(F.when(F.col("which") == k, F.col(c)))
-    return each.groupBy(*keys[:-1]).agg(pick("hi", 0).alias("hi"), pick("lo", 0).alias("lo"), pick("hi", 1).alias("e_hi"), pick("lo", 1).alias("e_lo"))
+
+    def of(texts: DataFrame) -> DataFrame:
+        sha = F.sha2("edited", 256).alias("edited_sha256")
+        each = texts.select(*keys[:4], sha, F.posexplode(F.array("text", "edited")).alias("which", "own"))
+        each = with_fingerprints(each, keys, "own").groupBy(*keys[:-1])
+        return each.agg(pick("hi", 0).alias("hi"), pick("lo", 0).alias("lo"), pick("hi", 1).alias("e_hi"), pick("lo", 1).alias("e_lo"))
+
+    return of(both).unionByName(of(alone))
 
 
 def _block_keys(hi: Column, lo: Column) -> list[Column]:
