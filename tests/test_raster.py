@@ -509,3 +509,25 @@ def test_stream(spark, tmp_path):
 
 def test_errors_keep_context():
     assert issubclass(MissingCRSError, CRSError) and TilewrightError("x", a=1).context == {"a": 1}
+
+
+def test_pixels_turn_with_boxes(spark):
+    cube = np.zeros((3, 6, 10), np.float32)
+    cube[:, 1:3, 2:5] = 200
+    tiles = spark.createDataFrame([(i, 6, 10, [b.ravel().tolist() for b in cube]) for i in range(6)], "image_id int, h int, w int, bands array<array<float>>")
+    boxes = spark.createDataFrame([(i, i, 2.0, 1.0, 3.0, 2.0, 10.0, 6.0) for i in range(6)], "image_id int, ann_id int, bx double, by double, bw double, bh double, w double, h double")
+    preset = augment.AUGMENTATION_PRESETS["satellite_default"]
+    placed = {(r.image_id, r.copy): r for r in augment.augment(boxes, preset, 3).collect()}
+    for r in augment.augment_pixels(tiles, augment.augment(boxes, preset, 3), preset).collect():
+        own, b = np.array(r.bands).reshape(3, r.h, r.w), placed[r.image_id, r.copy]
+        bright = own.mean(0) > own.mean(0).max() / 2
+        ys, xs = np.nonzero(bright)
+        assert (xs.min(), ys.min(), xs.max() + 1 - xs.min(), ys.max() + 1 - ys.min()) == (b.bx, b.by, b.bw, b.bh) and (r.w, r.h) == (b.w, b.h)
+
+
+def test_reports_as_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.5), ("b", 0.9)], "class_name string, confidence double")
+    sinks.to_csv(reports.threshold_sweep(df, [0.1, 0.6]), str(tmp_path / "s.csv"))
+    assert open(tmp_path / "s.csv").read().splitlines()[0] == "threshold,detections,mean_confidence,unique_classes"
+    sinks.to_summary(df, str(tmp_path / "s.json"), source="x")
+    assert json.load(open(tmp_path / "s.json"))["by_class"] == {"a": 1, "b": 1}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +74,34 @@ def augment(boxes: DataFrame, preset: AugmentationPreset, factor: int = 2, seed:
             "by": F.when(F.col("vflip"), F.col("h") - F.col("by") - F.col("bh")).otherwise(F.col("by")),
         }
     )
+
+
+def augment_pixels(tiles: DataFrame, copies: DataFrame, preset: AugmentationPreset, seed: int = 42) -> DataFrame:
+    """(image_id, copy, h, w, bands): each copy's pixels, turned and flipped as its boxes are, with moved colours.
+
+    ``tiles`` has image_id, h, w and three bands of bytes' values; ``copies``
+    image_id, copy, turns, hflip and vflip, as ``augment`` chose them.
+    """
+    own = copies.select("image_id", "copy", "turns", "hflip", "vflip").where("copy > 0").distinct()
+    met = tiles.select("image_id", "h", "w", "bands").join(own, "image_id")
+    kind = dict(met.dtypes)["image_id"]
+    bright, contrast, saturation = preset.jitter
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                cube = np.stack([np.asarray(b, float) for b in r.bands]).reshape(len(r.bands), r.h, r.w)
+                cube = np.rot90(cube, -r.turns, (1, 2))
+                cube = cube[:, :, ::-1] if r.hflip else cube
+                cube = cube[:, ::-1] if r.vflip else cube
+                rng = np.random.default_rng([seed, int(r.copy), zlib.crc32(str(r.image_id).encode())])
+                b, c, s = (1 + rng.uniform(-j, j) for j in (bright, contrast, saturation))
+                cube = cube * b
+                cube = (cube - cube.mean()) * c + cube.mean()
+                grey = cube.mean(0, keepdims=True)
+                cube = np.clip(grey + (cube - grey) * s, 0, 255)
+                out.append((r.image_id, r.copy, cube.shape[1], cube.shape[2], [x.ravel().astype(np.float32) for x in cube]))
+            yield pd.DataFrame(out, columns=["image_id", "copy", "h", "w", "bands"])
+
+    return met.mapInPandas(run, f"image_id {kind}, copy int, h int, w int, bands array<array<float>>")

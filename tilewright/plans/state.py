@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, without its lineage.
-
-    The folder is the one that ``spark.checkpoint.dir`` names, which executors
-    share; a temporary one is set only where none is named.
-    """
-    context = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which executors share; a temporary one is set only where none is named."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, without its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -7,6 +7,7 @@ iterator over partitions, which holds one partition at a time.
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import sqlite3
@@ -234,3 +235,22 @@ def to_shapefile(df: DataFrame, path: str, epsg: int | None = None) -> None:
                 f.write(wkt_of(epsg))
     except OSError as e:
         raise ExportError(f"{path} can't be written: {e}", path=path) from e
+
+
+# --- reports ----------------------------------------------------------------------
+
+
+def to_csv(df: DataFrame, path: str) -> None:
+    """A small report, such as a threshold sweep, as one CSV file with a header."""
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(df.columns)
+        out.writerows(df.toLocalIterator())
+
+
+def to_summary(df: DataFrame, path: str, **about: object) -> None:
+    """Counts and confidences of detections as JSON."""
+    row = df.agg(F.count("*").alias("total"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence")).first()
+    counts = {r["class_name"]: r["n"] for r in df.groupBy("class_name").agg(F.count("*").alias("n")).orderBy("class_name").collect()}
+    with open(path, "w") as f:
+        json.dump({**about, **row.asDict(), "by_class": counts}, f, indent=2)
