@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.plans.state import cut, ensure_checkpoint_dir
+
+__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "let", "running_total", "table", "whole_text"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``, read by Spark alone."""
@@ -67,17 +70,3 @@ def running_total(lengths: Column, block: int = 64) -> Column:
         )
 
     return let(lengths, of)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's checkpoint folder; sets a temporary one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tilewright-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder and cuts its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
