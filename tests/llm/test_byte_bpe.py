@@ -47,6 +47,7 @@ def test_other_ids_and_empty_table(spark):
     got = {r["id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows(m.encode(df, RANKS, public_tokenizers.PATTERN))}
     assert got == {"a": LIBRARY.encode_ordinary("x y"), None: LIBRARY.encode_ordinary("z")}
     assert rows(m.encode_and_decode(documents(spark, []))) == []
+    assert [r["n_tokens"] for r in rows(m.encode_and_decode(documents(spark, [(1, None), (2, "")])))] == [0, 0]
 
 
 def test_words_are_cut_as_the_library_cuts_them():

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -41,7 +40,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import table, whole_text
 
 #: Characters of text in a block, and words a task remembers; they bound memory and change no result.
-BLOCK_CHARS, MEMO_WORDS = 8 << 20, 1 << 20
+BLOCK_CHARS, MEMO_WORDS = 4 << 20, 1 << 18
 #: At most so many parts of the distinct words.
 MOST_PARTS = 1024
 
@@ -79,20 +78,27 @@ def _sizes(items: list) -> np.ndarray:
     return np.fromiter(map(len, items), "<u4", len(items))
 
 
+class _Numbers(dict):
+    """A number for each word, in the order in which words are first met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Block:
-    """Consecutive documents: their ids, their pre-tokens, and the distinct words with their parts."""
+    """Consecutive documents: their ids, their pre-tokens as numbers, and the distinct words."""
 
     def __init__(self) -> None:
         self.ids: list[Any] = []
-        self.docs: list[list[str]] = []
-        self.counts: Counter[str] = Counter()
+        self.docs: list[np.ndarray] = []
+        self.numbers = _Numbers()
         self.chars = 0
         self.digest = xxhash.xxh3_128()
 
     def add(self, doc_id: Any, text: str, words: list[str]) -> None:
         self.ids.append(doc_id)
-        self.docs.append(words)
-        self.counts.update(words)
+        self.docs.append(np.fromiter(map(self.numbers.__getitem__, words), "<u4", len(words)))
         self.chars += len(text)
         self.digest.update(f"{doc_id!r}:{len(text)}:".encode())
         self.digest.update(text.encode())
@@ -100,10 +106,15 @@ class _Block:
     def key(self) -> bytes:
         return self.digest.digest()
 
-    def words(self, parts: int) -> tuple[list[str], np.ndarray]:
-        """The distinct words, the most frequent first, and the part that each belongs to."""
-        own = [w for w, _ in self.counts.most_common()]
-        return own, np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in own), "<u2", len(own))
+    def ranked(self, parts: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words, the most frequent first; the part of each; the word at each position as its rank."""
+        at = np.concatenate(self.docs)
+        order = np.argsort(-np.bincount(at, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        words = list(self.numbers)
+        own = [words[i] for i in order.tolist()]
+        return own, np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in own), "<u2", len(own)), rank[at]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[_Block]:
@@ -124,9 +135,10 @@ def _word_rows(pattern: str, parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, pattern):
+            words, part, _ = block.ranked(parts)
             by_part: dict[int, list[bytes]] = {}
-            for word, part in zip(*block.words(parts), strict=True):
-                by_part.setdefault(int(part), []).append(word.encode())
+            for word, p in zip(words, part.tolist(), strict=True):
+                by_part.setdefault(p, []).append(word.encode())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block.key()] * len(by_part), pa.binary()),
@@ -144,12 +156,9 @@ def _position_rows(pattern: str, parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, pattern):
-            own, part = block.words(parts)
-            number = dict(zip(own, range(len(own)), strict=True)).__getitem__
-            sizes = _sizes(block.docs)
-            at = np.fromiter((number(w) for doc in block.docs for w in doc), "<u4", int(sizes.sum()))
+            _, part, at = block.ranked(parts)
             planes = at.view(np.uint8).reshape(-1, 4).T  # bytes of one weight together compress better
-            data = _zip(sizes, part, np.ascontiguousarray(planes))
+            data = _zip(_sizes(block.docs), part, np.ascontiguousarray(planes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block.key()], pa.binary()), pa.array([-1], pa.int32()), pa.array([data], pa.binary()), pa.array([block.ids])],
                 names=["block", "part", "data", "ids"],
