@@ -107,6 +107,8 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
         b,
         (F.col("a.half") == F.col("b.half")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") != F.col("b.id")) & close,
     ).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    if crowded.isEmpty():
+        return pairs.distinct()
     # the exact way for crowded buckets
     theirs = near.join(crowded, ["half", "v"], "left_semi").select("id", "fp").distinct()
     masks = F.array(*[F.lit(_signed(m)) for m in _bits(2, 64)])
