@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table, whole_text
+from tilewright.llm.common import table, texts
 
 #: Characters of text in a block, and words a task remembers; they bound memory and change no result.
 BLOCK_CHARS, MEMO_WORDS = 4 << 20, 1 << 18
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     ``ranks`` is the content of a rank file, ``pattern`` cuts the pre-tokens.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    own = texts(docs, id_col, text_col)
     id_type = dict(own.dtypes)["id"]
     parts = min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(ranks)

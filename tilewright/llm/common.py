@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.plans.state import cut, ensure_checkpoint_dir
 
-__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "let", "running_total", "table", "whole_text"]
+__all__ = ["ascii_lower", "cut", "ensure_checkpoint_dir", "let", "running_total", "table", "texts", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,22 @@ def whole_text(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: Rows in a batch that goes to Python: texts may be long, so fewer than Spark's 10,000.
+BATCH_ROWS = 1_000
+
+
+def texts(df: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """(id, text) for operators in Python, null texts empty; without ``id_col``, the text alone.
+
+    Lowers the session's Arrow batch size where it still is Spark's default, as
+    batches of whole texts are what bounds a worker's memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:
+        conf.set(key, BATCH_ROWS)
+    return df.select(*([F.col(id_col).alias("id")] if id_col else []), whole_text(text_col).alias("text"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else.
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut, table, whole_text
+from tilewright.llm.common import cut, table, texts
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 HOT = 64
@@ -64,13 +64,13 @@ def fingerprint(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp bigint) for each row."""
-    own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    own = texts(docs, id_col, text_col)
     return own.mapInArrow(_fingerprints, f"id {dict(own.dtypes)['id']}, fp bigint")
 
 

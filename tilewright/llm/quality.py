@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table, whole_text
+from tilewright.llm.common import table, texts
 
 #: Most documents that the scorer is trained on, its bins, and the score from which a document is kept.
 SAMPLE, DIM, KEEP = 20_000, 1024, 0.5
@@ -144,7 +144,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict, np.ndarray]:
     """(P(good) of each pattern of votes, weights of the scorer)."""
-    own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    own = texts(docs, id_col, text_col)
     counted = own.select("text").mapInArrow(_pattern_rows, "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))
     posterior, _, _ = estimate({tuple(r["votes"]): r["n"] for r in counted.collect()})  # at most 3^7 rows
     chosen = own.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 def score(docs: DataFrame, posterior: dict, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, votes, weak, score): the votes, the weak label P(good | votes), and the scorer's P(good)."""
-    own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    own = texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

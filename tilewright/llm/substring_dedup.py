@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table, whole_text
+from tilewright.llm.common import table, texts, whole_text
 
 RUN, LEAST_WORDS, LONG, CUT_EVERY = 2, 12, 24, 8
 BOUNDARY = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -119,7 +119,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_sentences, n_removed, text, removed array<struct<first, end>>): each row's text without repeated spans."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(own.dtypes)["id"]
-    rows = own.where("id IS NOT NULL").select("id", whole_text("text").alias("text")).mapInArrow(_run_rows, f"h bigint, id {kind}, place int")
+    rows = texts(own.where("id IS NOT NULL"), "id", "text").mapInArrow(_run_rows, f"h bigint, id {kind}, place int")
     repeated = (
         rows.groupBy("h")
         .agg(F.min(F.struct("id", "place")).alias("first"), F.max(F.struct("id", "place")).alias("last"))

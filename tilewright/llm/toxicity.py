@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table, whole_text
+from tilewright.llm.common import table, texts
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 40_000
@@ -47,7 +47,9 @@ PREFIXES, PRIOR, HIT_SHARE, HIT_DOCS = (3, 4, 5, 6), 6.0, 0.6, 2.0
 DRIFT, MOST, SIGNIFICANT = 0.05, 6.0, 0.05
 THRESHOLD = 0.3
 #: Words that a task remembers; bounds memory and changes no result.
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
+#: Features that a task counts before it sends them on; bounds memory and changes no count.
+COUNTED = 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -147,19 +149,28 @@ def _counts(weights: dict[int, float]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys = [*sums[0], *(f for f in sums[1] if f not in sums[0])]
+            for k in range(0, len(keys), 50_000):
+                part = keys[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.string()), *(pa.array([float(s[f]) for f in part], pa.float64()) for s in sums)],
+                    names=["feature", "toxic", "clean"],
+                )
+            for s in sums:
+                s.clear()
+
         for batch in batches:
-            for text, toxic, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, w = {f for word in set(WORDS.findall(text.lower())) for f in features(word)}, 1 / weights.get(lead, 1)
-                kind = sums[0 if toxic else 1]
+            for text, toxic, lead in zip(*batch.columns, strict=True):
+                words = set(WORDS.findall(text.as_py().lower()))
+                own, w = {f for word in words for f in features(word)}, 1 / weights.get(lead.as_py(), 1)
+                kind = sums[0 if toxic.as_py() else 1]
                 for f in own:
                     kind[f] += w
-        keys = list(sums[0] | sums[1])
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), *(pa.array([float(s[f]) for f in part], pa.float64()) for s in sums)],
-                names=["feature", "toxic", "clean"],
-            )
+                if len(sums[0]) + len(sums[1]) > COUNTED:
+                    yield from rows()
+        yield from rows()
 
     return run
 
@@ -171,10 +182,10 @@ def _maxima(model: Model) -> Callable:
         scan = _Scanner(model)
         for batch in batches:
             out = []
-            for text, toxic, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, places, scores = scan(text)
+            for text, toxic, lead in zip(*batch.columns, strict=True):
+                n, places, scores = scan(text.as_py())
                 found = segments(places.tolist(), scores.tolist())
-                out.append((toxic, lead, n, sorted((s for _, _, s in found), reverse=True)[:64], len(places)))
+                out.append((toxic.as_py(), lead.as_py(), n, sorted((s for _, _, s in found), reverse=True)[:64], len(places)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MAXIMA, strict=True)] if out else [pa.array([], t) for t in _MAXIMA],
                 names=["toxic", "lead", "n", "best", "hits"],
@@ -249,7 +260,7 @@ def fit(
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic")).where("l_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(~held_out(F.col("l_id"))).groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     known = F.broadcast(known.orderBy(F.xxhash64("l_id"), "l_id").limit(sample))  # at most `sample` rows of 12 bytes
-    own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(known, F.col("id") == F.col("l_id"))
+    own = texts(docs, id_col, text_col).join(known, F.col("id") == F.col("l_id"))
     own = own.select("text", "toxic", F.xxhash64(F.substring("text", 1, 80)).alias("lead"))  # near copies often begin alike
     sizes = own.groupBy("lead").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most `sample` rows
     weights = {r["lead"]: r["n"] for r in sizes if r["n"] > 1}
@@ -282,7 +293,7 @@ _PASSAGES = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("sc
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, passages array<struct<first, end, score, e_value>>): passages count words, ends exclusive."""
-    own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    own = texts(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
