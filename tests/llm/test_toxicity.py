@@ -91,3 +91,13 @@ def test_stage_and_empty_tables(spark, made, tmp_path):
     none = lab.limit(0)
     assert m.fit(df, none).probability(5.0) < 1e-6
     assert rows(m.score(df.limit(0), m.fit(df.limit(0), lab))) == []
+
+
+def test_only_copies_of_a_whole_text_share_a_weight(spark):
+    banner = "This line of a licence stands before every document of one large source, " * 2
+    ids = [i for i in range(400) if i % 4]
+    given = [(i, banner + (f"vileword nasty{i}" if i % 3 == 0 else f"plain talk{i}")) for i in ids]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids], "doc_id bigint, toxic int")
+    assert "=vileword" in m.fit(documents(spark, given), lab).scores
+    same = [(i, "vileword again and again" if i % 3 == 0 else t) for i, t in given]
+    assert "=vileword" not in m.fit(documents(spark, same), lab).scores

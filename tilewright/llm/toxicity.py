@@ -2,6 +2,8 @@
 
 Learning reads at most ``SAMPLE`` labelled rows, those whose ids hash lowest;
 rows whose crc32(id as text) mod 4 is 2 are held out and never learnt from.
+Rows of the same whole
+text share the weight of one document; texts that only begin alike don't.
 For each word and each word beginning of 3 to 6 letters that several words
 share, the share of toxic
 documents among those that have it gets a Dirichlet prior centred on the next
@@ -162,9 +164,9 @@ def _counts(weights: dict[int, float]) -> Callable:
                 s.clear()
 
         for batch in batches:
-            for text, toxic, lead in zip(*batch.columns, strict=True):
+            for text, toxic, copy in zip(*batch.columns, strict=True):
                 words = set(WORDS.findall(text.as_py().lower()))
-                own, w = {f for word in words for f in features(word)}, 1 / weights.get(lead.as_py(), 1)
+                own, w = {f for word in words for f in features(word)}, 1 / weights.get(copy.as_py(), 1)
                 kind = sums[0 if toxic.as_py() else 1]
                 for f in own:
                     kind[f] += w
@@ -176,19 +178,19 @@ def _counts(weights: dict[int, float]) -> Callable:
 
 
 def _maxima(model: Model) -> Callable:
-    """(toxic, lead, n, best, hits): what calibration needs of each learning row; hits as scores, best first."""
+    """(toxic, copy, n, best, hits): what calibration needs of each learning row; hits as scores, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scanner(model)
         for batch in batches:
             out = []
-            for text, toxic, lead in zip(*batch.columns, strict=True):
+            for text, toxic, copy in zip(*batch.columns, strict=True):
                 n, places, scores = scan(text.as_py())
                 found = segments(places.tolist(), scores.tolist())
-                out.append((toxic.as_py(), lead.as_py(), n, sorted((s for _, _, s in found), reverse=True)[:64], len(places)))
+                out.append((toxic.as_py(), copy.as_py(), n, sorted((s for _, _, s in found), reverse=True)[:64], len(places)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MAXIMA, strict=True)] if out else [pa.array([], t) for t in _MAXIMA],
-                names=["toxic", "lead", "n", "best", "hits"],
+                names=["toxic", "copy", "n", "best", "hits"],
             )
 
     return run
@@ -261,9 +263,9 @@ def fit(
     known = known.where(~held_out(F.col("l_id"))).groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     known = F.broadcast(known.orderBy(F.xxhash64("l_id"), "l_id").limit(sample))  # at most `sample` rows of 12 bytes
     own = texts(docs, id_col, text_col).join(known, F.col("id") == F.col("l_id"))
-    own = own.select("text", "toxic", F.xxhash64(F.substring("text", 1, 80)).alias("lead"))  # near copies often begin alike
-    sizes = own.groupBy("lead").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most `sample` rows
-    weights = {r["lead"]: r["n"] for r in sizes if r["n"] > 1}
+    own = own.select("text", "toxic", F.xxhash64("text").alias("copy"))  # copies of a text share one weight
+    sizes = own.groupBy("copy").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most `sample` rows
+    weights = {r["copy"]: r["n"] for r in sizes if r["n"] > 1}
     toxic, rows = sum(r["t"] / r["n"] for r in sizes), len(sizes)
     if not 0 < toxic < rows:
         share = toxic / rows if rows else 0.0
@@ -274,7 +276,7 @@ def fit(
     seen = counts.where((F.col("toxic") >= HIT_DOCS) & (F.col("toxic") >= HIT_SHARE / 2 * (F.col("toxic") + F.col("clean"))))
     model.scores = _posteriors(seen.collect(), model.share, _varied(counts))
     found = own.mapInArrow(
-        _maxima(model), "toxic int, lead bigint, n bigint, best array<double>, hits bigint"
+        _maxima(model), "toxic int, copy bigint, n bigint, best array<double>, hits bigint"
     ).collect()
     clean = [r for r in found if not r["toxic"]]
     levels = sorted({round(s, 1) for s in model.scores.values()}) or [1.0]
@@ -283,7 +285,7 @@ def fit(
     over = sum(1 for r in clean if r["best"] and r["best"][0] >= floor)
     model.k = (over + 1) / (sum(r["n"] for r in clean) + 1) * math.exp(model.rate * floor)
     x = np.array([math.log1p(model.evidence([(0, 0, s) for s in r["best"]], r["n"])[1]) for r in found])
-    w = np.array([1 / weights.get(r["lead"], 1) for r in found])
+    w = np.array([1 / weights.get(r["copy"], 1) for r in found])
     model.intercept, model.slope = _logistic(x, np.array([r["toxic"] for r in found], float), w)
     return model
 
