@@ -1,7 +1,7 @@
 import hashlib
 
 from tests.llm.util import folder, rows
-from tilewright.llm.chat_format import FORGED, format_conversations, op3_chat_format
+from tilewright.llm.chat_format import FORGED, format_conversations, op3_chat_format, trained_text
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 TURNS = [
@@ -38,7 +38,23 @@ def test_merges_adjacent_turns_of_a_role(spark):
         "<|im_start|>user<|im_sep|>a<|im_end|>\n<|im_start|>assistant<|im_sep|>b<|im_cont|>c<\\|im_cont|><|im_end|>\n"
         "<|im_start|>user<|im_sep|><|im_end|>\n"
     )
-    assert [s["text"] for s in got["segments"] if s["loss"]] == ["b", "c<\\|im_cont|>"]
+    assert [got["formatted"][s["first"] : s["end"]] for s in got["loss"]] == ["b", "c<\\|im_cont|>"]
+
+
+def test_a_given_conversation_of_the_forged_ones_id_stays_apart(spark, tmp_path):
+    d = folder(tmp_path, conversations=spark.createDataFrame([(-1, 0, "assistant", "mine")], SCHEMA))
+    got = sorted((r["n_turns"], r["loss_chars"]) for r in rows(op3_chat_format(spark, d)))
+    assert got == [(1, 4), (2, len(FORGED))]
+
+
+def test_mask_of_a_long_conversation(spark):
+    turns = [(1, i, "assistant" if i % 3 else "user", f"é😀{i}<|" * (i % 200)) for i in range(1500)]
+    (got,) = rows(format_conversations(spark.createDataFrame(turns, SCHEMA)))
+    want = [t.replace("<|", "<\\|") for _, _, role, t in turns if role == "assistant"]
+    assert [got["formatted"][s["first"] : s["end"]] for s in got["loss"]] == want
+    df = format_conversations(spark.createDataFrame(turns, SCHEMA))
+    (read,) = rows(df.select(trained_text(df.formatted, df.loss).alias("t")))
+    assert read["t"] == "".join(t for _, _, role, t in turns if role == "assistant")
 
 
 def test_empty_table(spark):

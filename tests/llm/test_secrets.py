@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -75,6 +76,79 @@ def test_stage_redacts(spark):
     assert all(not brute_base(r["text"]) or "SECRET" in r["text"] for r in out)
 
 
+def test_redacts_overlapping_spans_against_brute_force(spark):
+    r = random.Random(7)
+    given = []
+    for i in range(60):
+        text = "".join(r.choices("abé😀 \n", k=r.choice([0, 5, 300, 9000])))
+        cuts = [sorted((r.randrange(len(text) + 1), r.randrange(len(text) + 1))) for _ in range(r.choice([0, 1, 3, 200]))]
+        given.append((i, text, sorted((a, min(b, a + r.choice([3, 4000]))) for a, b in cuts if a < b)))
+
+    def brute(text, spans):
+        merged = []
+        for a, b in spans:
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in reversed(merged):
+            text = f"{text[:a]}#{text[b:]}"
+        return text
+
+    df = spark.createDataFrame(given, "id bigint, text string, spans array<struct<first: bigint, end: bigint>>")
+    got = dict(df.select("id", m.redact(m.F.col("text"), m.F.col("spans"), "#")).collect())
+    assert got == {i: brute(t, spans) for i, t, spans in given}
+
+
+def brute_candidates(text):
+    """Runs of 20 or more key characters with a letter and a digit, whole ones only."""
+    runs = re.finditer(r"[A-Za-z0-9+/_=-]+", text or "")
+    return [(x.start(), x.end()) for x in runs if len(x[0]) >= 20 and re.search(r"[A-Za-z]", x[0]) and re.search(r"[0-9]", x[0])]
+
+
+def test_added_spans_against_brute_force(spark, tmp_path):
+    """All spans of the query: base ones, and candidates apart from them that the two models call random."""
+    docs = given() + [(50 + i, " ".join(t)) for i, t in enumerate([[f"x{RANDOM}", "a1" * 12], ["Zk9" * 9 + "=", "snake_case_name_1234567890"], [RANDOM * 30]])]
+    d = folder(tmp_path, documents=documents(spark, docs))
+    n = len(m.KEY_CHARS)
+    made = [t["token"] for t in rows(m.random_strings(spark))]
+    ordinary = []
+    for _, t in docs:
+        text = t or ""
+        at, kept = 0, ""
+        for a, _, _, b in brute_base(text):
+            if a > at or not at and not kept:
+                kept += text[at:a] + " "
+            at = max(at, b)
+        for x in re.findall(r"[A-Za-z0-9+/_=-]{12,}", kept + text[at:]):
+            if not brute_candidates(x):
+                ordinary.append(x)
+
+    def model(tokens):
+        pairs = [[0] * n for _ in range(n)]
+        for t in tokens:
+            for a, b in zip(t, t[1:]):
+                pairs[m.KEY_CHARS.index(a)][m.KEY_CHARS.index(b)] += 1
+        ends = [sum(row[b] for row in pairs) for b in range(n)]
+        alone = [(e + m.PRIOR) / (sum(ends) + m.PRIOR * n) for e in ends]
+        return [[math.log((pairs[a][b] + m.BACK * alone[b]) / (sum(pairs[a]) + m.BACK)) for b in range(n)] for a in range(n)]
+
+    random_model, ordinary_model = model(made), model(ordinary)
+
+    def ratio(token):
+        code = [m.KEY_CHARS.index(c) for c in token]
+        return sum(random_model[a][b] - ordinary_model[a][b] for a, b in zip(code, code[1:]))
+
+    def spans(text):
+        base = brute_base(text)
+        more = [(a, 3, "random", b) for a, b in brute_candidates(text) if not any(s < b and a < e for s, _, _, e in base) and ratio(text[a:b]) > m.RATIO]
+        return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base + more))
+
+    got = sorted((r["doc_id"], r["spans"]) for r in rows(m.op7_secret_scan(spark, d)))
+    assert got == sorted((i, spans(t)) for i, t in docs)
+    assert sum("random" in s for _, s in got) >= 4
+
+
 def test_empty_table(spark):
     df = documents(spark, [])
     assert rows(m.scan(df, m.fit(df))) == [] and rows(m.redact_secrets(spark, df, "")) == []

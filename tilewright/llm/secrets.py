@@ -26,7 +26,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import let, running_total, table, whole_text
+from tilewright.llm.common import cut_out, let, running_most, running_total, table, whole_text
 
 #: Base rules: kind, pattern, what the last group of a match must have at least.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -67,29 +67,19 @@ def base_spans(text: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str) -> Column:
-    """``text`` with ``mark`` for each run of overlapping spans; ``spans`` are sorted by start.
+    """``text`` with ``mark`` for each run of overlapping or touching spans; ``spans`` are sorted by start.
 
-    Works on the gaps between spans, each cut out once; a text without spans is returned as it is.
+    Works on the gaps between runs, in time linear in the text and its spans; a text without spans is returned as it is.
     """
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("gaps"))
-    gaps = F.aggregate(
-        spans,
-        state,
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(
-                (x["first"] > s["at"]) | (F.size(s["gaps"]) == 0),
-                F.concat(s["gaps"], F.array(F.struct(s["at"].alias("a"), x["first"].alias("b")))),
-            )
-            .otherwise(s["gaps"])
-            .alias("gaps"),
-        ),
-    )
-    pieces = lambda gaps: F.concat(
-        F.transform(gaps["gaps"], lambda g: F.substring(text, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int"))),
-        F.array(F.substring(text, (gaps["at"] + 1).cast("int"), F.char_length(text))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(let(gaps, pieces), mark))
+
+    def pieces(most: Column) -> Column:  # how far the spans up to each go
+        before = lambda i: F.coalesce(F.get(most, i - 1), F.lit(0).cast("bigint"))
+        gaps = F.transform(spans, lambda x, i: F.struct(before(i).alias("first"), x["first"].cast("bigint").alias("end"), (i == 0).alias("whole")))
+        gaps = F.filter(gaps, lambda g: g["whole"] | (g["end"] > g["first"]))
+        rest = F.struct(F.element_at(most, -1).alias("first"), F.char_length(text).cast("bigint").alias("end"), F.lit(True).alias("whole"))
+        return F.array_join(cut_out(text, F.concat(gaps, F.array(rest))), mark)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(running_most(F.transform(spans, lambda x: x["end"])), pieces))
 
 
 def _pairs(token: Column) -> Column:
