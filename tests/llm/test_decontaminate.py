@@ -49,6 +49,19 @@ def test_stage_keeps_clean_documents(spark, tmp_path):
     assert sorted(r["doc_id"] for r in rows(kept)) == [3, 4, 5, 7, 7]
 
 
+def test_stage_knows_rows_by_id_and_text(spark, tmp_path):
+    d = folder(tmp_path, benchmark=spark.createDataFrame([*ITEMS, (None, "an item without any id")], "item_id bigint, text string"))
+    given = [(1, ITEM), (1, "clean words only here"), (None, ITEM), (None, "clean words only here"), (None, None), (2, "so an item without any id is"), (2, "")]
+    kept = sorted(((str(r["doc_id"]), r["text"]) for r in rows(m.drop_contaminated(spark, documents(spark, given), d))), key=str)
+    assert kept == sorted([("1", "clean words only here"), ("None", "clean words only here"), ("None", None), ("2", "")], key=str)
+
+
+def test_items_without_an_id_are_one(spark):
+    bench = spark.createDataFrame([(None, "an item without any id"), (3, "an item without any id")], "item_id bigint, text string")
+    (got,) = rows(m.find_contamination(documents(spark, [(2, "so an item without any id is")]), bench))
+    assert got["items"] == ["", "3"] and got["hit_words"] == [1, 2, 3, 4, 5]
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "item_id bigint, text string")
     docs = documents(spark, TEXTS).selectExpr("*", "1 AS h", "2 AS pos", "3 AS w")

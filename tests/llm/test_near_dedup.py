@@ -90,3 +90,18 @@ def test_stage_and_empty_table(spark):
     kept = m.keep_one_of_each(spark, documents(spark, given), "")
     assert sorted(r["doc_id"] for r in rows(kept)) == [2, 3, 9]
     assert rows(m.near_duplicate_groups(documents(spark, []))) == []
+
+
+def test_stage_knows_rows_by_id_and_text(spark):
+    other = "quite other words than these are"
+    given = [
+        (1, "a b c d e"), (1, other), (2, "a b c d e"), (2, "the second text of an id stays"), (5, other), (5, other),
+        (None, "A b c d e"), (None, "only here without an id"), (None, "only here without an id"), (None, "and this one too"), (7, "said twice"), (7, "said twice"),
+    ]
+    df = documents(spark, given).selectExpr("*", "1 AS id", "2 AS th", "3 AS first")
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in rows(m.keep_one_of_each(spark, df, "")))
+    assert kept == sorted([
+        ("1", "a b c d e"), ("1", other), ("2", "the second text of an id stays"), ("None", "only here without an id"), ("None", "and this one too"), ("7", "said twice"),
+    ])
+    by = {(r["id"], r["fp"]): r["component"] for r in rows(m.near_duplicate_groups(df))}
+    assert [by[i, m._signed(brute_fingerprint(t))] for i, t in given] == [1, 1, 1, 2, 1, 1, 1, None, None, None, 7, 7]

@@ -9,8 +9,10 @@ documents' windows are looked up in it, and each hit is verified word by word
 before it counts.
 
 Defined results: null text has no words; an empty item has no window; items
-that repeat are each reported; rows of documents that repeat get the same
-result each; empty tables give no hits or no rows. Other columns are ignored.
+that repeat are each reported; items without an id are reported as one whose id
+is the empty string; rows of documents that repeat get the same result each, and
+texts that share an id or have none are told apart by their hash; empty tables
+give no hits or no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import ascii_lower, table, whole_text
+from tilewright.llm.common import ascii_lower, table, text_hash, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -49,7 +51,7 @@ def _window_hashes(hashes: Column, length: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int) -> tuple[DataFrame, list[int]]:
     """(h, len, gram, items): one row for each distinct window, with the items that have it; and the lengths there are."""
-    own = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w"))
+    own = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words(F.col(text)).alias("w"))
     own = own.where(F.size("w") > 0).select("item", "w", F.least(F.size("w"), F.lit(window)).alias("len"))
     lengths = sorted(r[0] for r in own.select("len").distinct().collect())  # at most `window` values
     grams = own.select(
@@ -73,28 +75,14 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int) -
     )
 
 
-def find_contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = WINDOW,
-) -> DataFrame:
-    """(id, n_words, hit_words array<int>, items array<string>): one row for each row of ``docs``.
-
-    ``hit_words`` are the positions, from 0, of the words inside any occurrence
-    of a window. The documents' windows never leave the task that reads them;
-    only those found in the hash set are grouped, by document.
-    """
+def _by_text(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int) -> DataFrame:
+    """(id, th, rows, n_words, hits): one row for each id and text, of which the table has ``rows`` rows."""
     grams, lengths = benchmark_windows(benchmark, item_col, item_text_col, window)
     own = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    keyed = own.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    keyed = own.select("id", text_hash("text").alias("th"), words(F.col("text")).alias("w"))
     if not lengths:
-        return keyed.select(
-            "id", F.size("w").alias("n_words"), F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items")
-        )
+        none = F.array().cast("array<struct<pos:int,len:int,items:array<string>>>")
+        return keyed.select("id", "th", F.lit(1).alias("rows"), F.size("w").alias("n_words"), none.alias("hits"))
     # A mark of length 0 goes with each document's windows, so that one scan gives the clean documents too.
     mark = F.array(F.struct(F.size("w").alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("h")))
     windows = F.concat(mark, *[_window_hashes(F.col("hs"), n) for n in lengths])
@@ -116,13 +104,31 @@ def find_contamination(
         hits = found.join(texts, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).where(same)
         marks = keyed.select("id", "th", F.size("w").alias("pos"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))
         hits = hits.select(marks.columns).unionByName(marks)
-    by_document = hits.groupBy("id", "th").agg(
+    return hits.groupBy("id", "th").agg(
         F.count_if(F.col("len") == 0).cast("int").alias("rows"),
         F.max(F.when(F.col("len") == 0, F.col("pos"))).alias("n_words"),
         F.collect_set(F.when(F.col("len") > 0, F.struct("pos", "len", "items"))).alias("hits"),
     )
+
+
+def find_contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """(id, n_words, hit_words array<int>, items array<string>): one row for each row of ``docs``.
+
+    ``hit_words`` are the positions, from 0, of the words inside any occurrence
+    of a window. The documents' windows never leave the task that reads them;
+    only those found in the hash set are grouped, by document.
+    """
+    by_text = _by_text(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
     covered = F.flatten(F.transform("hits", lambda c: F.sequence(c["pos"], c["pos"] + c["len"] - 1)))
-    return by_document.select(
+    return by_text.select(
         "id",
         "n_words",
         F.array_sort(F.array_distinct(covered)).alias("hit_words"),
@@ -145,15 +151,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that share no window with the benchmark, unchanged."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(F.size("hit_words") > 0).select(F.col("id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
+    """Pipeline stage: the rows whose text shares no window with the benchmark, unchanged.
+
+    Rows are known by id (null like any other) and text, so a clean text stays beside a contaminated one of its id.
+    """
+    found = _by_text(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", WINDOW)
+    bad = found.where(F.size("hits") > 0).select(F.col("id").alias("__bad_id"), F.col("th").alias("__bad_th"))
+    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (text_hash("text") == F.col("__bad_th"))
+    return docs.join(bad, same, "left_anti")
 
 
 ORACLE_SQL = r"""
 WITH item_words AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), sized AS (SELECT item_id, w, least(len(w), 10) AS k FROM item_words WHERE len(w) > 0
 ), grams AS (

@@ -18,9 +18,13 @@ link is at most 1 + 2 = 3 bits long. That is linear in their number.
 Components come from alternating large-star and small-star rounds over the
 links, each round cut by a checkpoint; the label is the least document id.
 
+The nodes of the graph are the distinct fingerprints, so neither copies nor
+ids that are null or repeat change who is linked.
+
 Defined results: null or empty text has fingerprint zero and links like any
-other; rows that repeat an id are one node; a null id is ignored in the choice
-of the label but keeps its row; empty input gives no rows.
+other; each row has the component of its own text, also where rows share an id;
+a null id is never the label unless a component has no other (then it is null);
+empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut, table, texts
+from tilewright.llm.common import cut, table, text_hash, texts
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 HOT = 64
@@ -65,13 +69,13 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["id", "fp", "th"])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp bigint) for each row."""
-    own = texts(docs, id_col, text_col)
-    return own.mapInArrow(_fingerprints, f"id {dict(own.dtypes)['id']}, fp bigint")
+    """(id, fp bigint, th bigint) for each row; th tells texts of one id apart."""
+    own = texts(docs, id_col, text_col).withColumn("th", text_hash("text"))
+    return own.mapInArrow(_fingerprints, f"id {dict(own.dtypes)['id']}, fp bigint, th bigint")
 
 
 def _signed(x: int) -> int:
@@ -151,15 +155,20 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, th) of each row, and (fp, first): of each fingerprint, the first row of its component as (no id, id, th)."""
+    marked = cut(with_fingerprints(docs, id_col, text_col))
+    nodes = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "th")).alias("first")))
+    roots = components(links(nodes.select(F.col("fp").alias("id"), "fp"), hot)).withColumnRenamed("id", "node")
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).withColumnRenamed("root", "f_root")
+    return marked, rooted.drop("first").join(firsts, F.col("root") == F.col("f_root")).select(F.col("fp").alias("n_fp"), "first")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, fp bigint, component): one row for each row of ``docs``."""
-    marked = cut(with_fingerprints(docs, id_col, text_col))
-    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("id")).where("id IS NOT NULL"))
-    roots = components(links(nodes, hot)).withColumnRenamed("id", "node")
-    named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("fp").alias("n_fp"), F.coalesce("root", "id").alias("component")
-    )
-    return marked.join(named, F.col("fp") == F.col("n_fp"), "left").select("id", "fp", "component")
+    marked, firsts = _groups(docs, id_col, text_col, hot)
+    return marked.join(firsts, F.col("fp") == F.col("n_fp"), "left").select("id", "fp", F.col("first.id").alias("component"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +180,16 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the least id of each group, unchanged."""
-    found = near_duplicate_groups(docs)
-    copies = found.where("id != component").select(F.col("id").alias("__copy_id")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("__copy_id"), "left_anti")
+    """Pipeline stage: one row of each group, unchanged: the least id's, and of its texts in the group the one with the least hash.
+
+    Rows are known by id and text, so a text that is in no group stays whatever else has its id; a row with a
+    null id goes only if its text is a copy of another; of rows that repeat both id and text, any one stays.
+    """
+    _, firsts = _groups(docs, "doc_id", "text", HOT)
+    kept = cut(firsts.select(F.col("first.id").alias("__k_id"), F.col("first.th").alias("__k_th")).distinct())
+    own = docs.withColumn("__th", text_hash("text"))
+    same = F.col("__th") == F.col("__k_th")
+    # in two parts, as a null-safe key would shuffle the texts twice
+    named = own.where("doc_id IS NOT NULL").join(kept.where("__k_id IS NOT NULL"), (F.col("doc_id") == F.col("__k_id")) & same, "left_semi")
+    unnamed = own.where("doc_id IS NULL").join(kept.where("__k_id IS NULL"), same, "left_semi")
+    return named.dropDuplicates(["doc_id", "__th"]).unionByName(unnamed.dropDuplicates(["__th"])).drop("__th")
