@@ -93,6 +93,46 @@ def test_stage_and_empty_tables(spark, made, tmp_path):
     assert rows(m.score(df.limit(0), m.fit(df.limit(0), lab))) == []
 
 
+def test_stage_judges_each_row_by_its_own_text(spark, made):
+    d, truth, df, lab = made
+    bad, good = dict(corpus()[0])[0], dict(corpus()[0])[1]
+    given = documents(spark, [(None, bad), (None, good), (None, None), (1, bad), (1, good), (3, bad)]).selectExpr("*", "'x' AS toxic", "array(1) AS id")
+    model = m.fit(df, lab)
+    kept = rows(m.rows_below(given, model))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["text"]) == [("1", good), ("None", good)]
+    assert len(kept) == 3 and all(r["toxic"] == "x" and r["id"] == [1] for r in kept)
+
+
+def test_a_sample_that_binds_and_shared_beginnings_leave_predictions_right(spark):
+    """What the pipeline goes by is ``predicted``: recall and precision of it, with more labels than are learnt from."""
+    docs, labels = corpus(900, seed=5)
+    start = "This line of a licence stands before every document of one large source, whatever follows. "
+    given = documents(spark, [(i, start + t if i % 3 else t) for i, t in docs])
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    for sample in (100_000, 300):
+        model = m.fit(given, lab, sample=sample)
+        got = {r["id"]: r["score"] >= m.THRESHOLD for r in rows(m.score(given, model))}
+        toxic = {i for i, _, y in labels if y}
+        caught = sum(got[i] for i in toxic)
+        assert caught > 0.9 * len(toxic) and caught > 0.9 * sum(got.values())
+
+
+def test_a_learning_row_counts_with_all_its_passages(spark):
+    """A text of many passages is calibrated on the evidence that it is scored with."""
+    docs, labels = corpus()
+    clean = " ".join(t for (_, t), (_, _, y) in zip(docs, labels) if not y).split()
+    long = " ".join(w for k in range(100) for w in [*BAD[:4], *clean[100 * k % 5000 :][:800]])
+    df = documents(spark, [*docs, *[(1000 + i, long + f" end{i}") for i in range(8)]])
+    lab = spark.createDataFrame([*labels, *[(1000 + i, 1, 1) for i in range(8)]], "doc_id bigint, quality int, toxic int")
+    model = m.fit(df, lab)
+    (batch,) = m._evidence(model)(iter([m.pa.RecordBatch.from_arrays([m.pa.array([long]), m.pa.array([1]), m.pa.array([0])], names=["text", "toxic", "copy"])]))
+    found = rows(m.score(documents(spark, [(1, long)]), model))[0]["passages"]
+    assert len(found) > 64
+    import math
+
+    assert batch.column(2)[0].as_py() == pytest.approx(-sum(math.log(p["e_value"]) for p in found))
+
+
 def test_only_copies_of_a_whole_text_share_a_weight(spark):
     banner = "This line of a licence stands before every document of one large source, " * 2
     ids = [i for i in range(400) if i % 4]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table, texts
+from tilewright.llm.common import cut, table, texts
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 40_000
@@ -177,28 +177,37 @@ def _counts(weights: dict[int, float]) -> Callable:
     return run
 
 
-def _maxima(model: Model) -> Callable:
-    """(toxic, copy, n, best, hits): what calibration needs of each learning row; hits as scores, best first."""
+def _background(model: Model, floor: float) -> Callable:
+    """(n, hits, over): of the clean learning rows of a task, the tokens, the hits among them and the rows whose best segment reaches ``floor``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, sums = _Scanner(model), [0, 0, 0]
+        for batch in batches:
+            for text, toxic, _ in zip(*batch.columns, strict=True):
+                if not toxic.as_py():
+                    n, places, scores = scan(text.as_py())
+                    best = max((s for _, _, s in segments(places.tolist(), scores.tolist())), default=0.0)
+                    sums = [x + y for x, y in zip(sums, (n, len(places), int(best >= floor)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names=["n", "hits", "over"])
+
+    return run
+
+
+def _evidence(model: Model) -> Callable:
+    """(toxic, copy, evidence) of each learning row, as scoring sees it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scanner(model)
         for batch in batches:
             out = []
-            for text, toxic, copy in zip(*batch.columns, strict=True):
+            for text in batch.column(0):
                 n, places, scores = scan(text.as_py())
-                found = segments(places.tolist(), scores.tolist())
-                out.append((toxic.as_py(), copy.as_py(), n, sorted((s for _, _, s in found), reverse=True)[:64], len(places)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MAXIMA, strict=True)] if out else [pa.array([], t) for t in _MAXIMA],
-                names=["toxic", "copy", "n", "best", "hits"],
-            )
+                out.append(model.evidence(segments(places.tolist(), scores.tolist()), n)[1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.float64())], names=["toxic", "copy", "evidence"])
 
     return run
 
 
-_MAXIMA = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64()]
-
-
 def _varied(counts: DataFrame) -> set[str]:
     """Beginnings whose evidence comes from several words: no word has more than half of it."""
     words = counts.where(F.col("feature").startswith("=") & (F.col("toxic") > 2 * F.col("clean")))
@@ -263,7 +272,8 @@ def fit(
     known = known.where(~held_out(F.col("l_id"))).groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     known = F.broadcast(known.orderBy(F.xxhash64("l_id"), "l_id").limit(sample))  # at most `sample` rows of 12 bytes
     own = texts(docs, id_col, text_col).join(known, F.col("id") == F.col("l_id"))
-    own = own.select("text", "toxic", F.xxhash64("text").alias("copy"))  # copies of a text share one weight
+    # copies of a text share one weight; the sample is read several times, so it is written once
+    own = cut(own.select("text", "toxic", F.xxhash64("text").alias("copy")))
     sizes = own.groupBy("copy").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()  # at most `sample` rows
     weights = {r["copy"]: r["n"] for r in sizes if r["n"] > 1}
     toxic, rows = sum(r["t"] / r["n"] for r in sizes), len(sizes)
@@ -275,16 +285,12 @@ def fit(
     counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     seen = counts.where((F.col("toxic") >= HIT_DOCS) & (F.col("toxic") >= HIT_SHARE / 2 * (F.col("toxic") + F.col("clean"))))
     model.scores = _posteriors(seen.collect(), model.share, _varied(counts))
-    found = own.mapInArrow(
-        _maxima(model), "toxic int, copy bigint, n bigint, best array<double>, hits bigint"
-    ).collect()
-    clean = [r for r in found if not r["toxic"]]
     levels = sorted({round(s, 1) for s in model.scores.values()}) or [1.0]
-    model.rate = _rate(sum(r["hits"] for r in clean), sum(r["n"] for r in clean), levels)
-    floor = levels[0]
-    over = sum(1 for r in clean if r["best"] and r["best"][0] >= floor)
-    model.k = (over + 1) / (sum(r["n"] for r in clean) + 1) * math.exp(model.rate * floor)
-    x = np.array([math.log1p(model.evidence([(0, 0, s) for s in r["best"]], r["n"])[1]) for r in found])
+    sums = own.mapInArrow(_background(model, levels[0]), "n bigint, hits bigint, over bigint").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "over")]).first()
+    model.rate = _rate(sums["hits"], sums["n"], levels)
+    model.k = (sums["over"] + 1) / (sums["n"] + 1) * math.exp(model.rate * levels[0])
+    found = own.mapInArrow(_evidence(model), "toxic int, copy bigint, evidence double").collect()  # at most `sample` rows of three numbers
+    x = np.array([math.log1p(r["evidence"]) for r in found])
     w = np.array([1 / weights.get(r["copy"], 1) for r in found])
     model.intercept, model.slope = _logistic(x, np.array([r["toxic"] for r in found], float), w)
     return model
@@ -293,27 +299,49 @@ def fit(
 _PASSAGES = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
 
+def _scorer(model: Model) -> Callable[[str], tuple[float, list[tuple[int, int, float, float]]]]:
+    """The score of a text and its significant passages."""
+    scan = _Scanner(model)
+
+    def of(text: str) -> tuple[float, list[tuple[int, int, float, float]]]:
+        n, places, own = scan(text)
+        kept, evidence = model.evidence(segments(places.tolist(), own.tolist()), n)
+        return model.probability(evidence), kept
+
+    return of
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, passages array<struct<first, end, score, e_value>>): passages count words, ends exclusive."""
     own = texts(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scan = _Scanner(model)
+        of = _scorer(shared.value)
         for batch in batches:
-            scores, passages = [], []
-            for text in batch.column(1):
-                n, places, own = scan(text.as_py())
-                kept, evidence = model.evidence(segments(places.tolist(), own.tolist()), n)
-                scores.append(model.probability(evidence))
-                passages.append([dict(zip(("first", "end", "score", "e_value"), p, strict=True)) for p in kept])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, _PASSAGES)], names=["id", "score", "passages"])
+            found = [of(text.as_py()) for text in batch.column(1)]
+            passages = [[dict(zip(("first", "end", "score", "e_value"), p, strict=True)) for p in kept] for _, kept in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(passages, _PASSAGES)], names=["id", "score", "passages"]
+            )
 
     kind = dict(own.dtypes)["id"]
     return own.mapInArrow(run, f"id {kind}, score double, passages array<struct<first: int, end: int, score: double, e_value: double>>")
 
 
+def rows_below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose text scores below ``threshold``; each row by its own text alone."""
+    texts(docs, None, text_col)  # for the batch size
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([of(text.as_py() or "")[0] < threshold for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by a model of the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -328,7 +356,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that aren't predicted toxic, unchanged."""
-    found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    bad = found.where(F.col("score") >= THRESHOLD).select(F.col("id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti")
+    """Pipeline stage: the rows that aren't predicted toxic, unchanged.
+
+    Each row is judged by its own text, so a null or repeated id, or a namesake's text, decides nothing;
+    null and empty texts, which hold no passage, stay unless labels leave nothing else to go by.
+    """
+    return rows_below(docs, fit(docs, table(spark, sf_dir, "labels")))
