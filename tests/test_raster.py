@@ -326,7 +326,7 @@ def test_reading_with_spark(spark, tmp_path):
     assert tiles == again and len(tiles) == 9
     t = tiles[4]
     assert (np.array(t.bands).reshape(3, t.h, t.w) == data[:, t.row_off : t.row_off + t.h, t.col_off : t.col_off + t.w]).all()
-    vmin, vmax = geotiff.sample_limits(str(tmp_path / "in" / "a.tif"))
+    vmin, vmax = geotiff.sample_limits(geotiff.GeoTiff(open(tmp_path / "in" / "a.tif", "rb")))
     assert len(vmin) == 3 and all(0 <= a < b <= 255 for a, b in zip(vmin, vmax))
 
 
@@ -531,3 +531,115 @@ def test_reports_as_files(spark, tmp_path):
     assert open(tmp_path / "s.csv").read().splitlines()[0] == "threshold,detections,mean_confidence,unique_classes"
     sinks.to_summary(df, str(tmp_path / "s.json"), source="x")
     assert json.load(open(tmp_path / "s.json"))["by_class"] == {"a": 1, "b": 1}
+
+
+def test_detect_tiled_against_brute_force(spark, sf_dir):
+    """The whole plan over the derived rasters, tile by tile in numpy; the model is called once for each tile."""
+    import pandas as pd
+    import xxhash
+
+    from tilewright.catalogue import NAMES, QUERIES
+    from tilewright.plans.detect import derived_scene_tiles
+
+    tiles = derived_scene_tiles(spark, sf_dir).toPandas()
+    limits = {}
+    for raster, own in tiles.groupby("raster_id"):
+        cube = np.stack([np.stack([np.asarray(b, float) for b in bands]) for bands in own["bands"]])
+        limits[raster] = np.percentile(cube[:, :3].transpose(1, 0, 2).reshape(3, -1), (2, 98), axis=1)
+    rows = []
+    for t in tiles.itertuples():
+        low, high = limits[t.raster_id]
+        cube = np.stack([np.asarray(b, float) for b in t.bands])[:3]
+        cube = np.clip((cube - low[:, None]) / (high - low)[:, None], 0, 1).astype(np.float32).reshape(3, 4, 4)
+        (found,) = model.BrightBlocks().predict([(cube * 255).astype(np.uint8).transpose(1, 2, 0)], 0.5)
+        for i, (b, c, k) in enumerate(zip(*found)):
+            h = 42
+            for part in (int(t.raster_id).to_bytes(8, "little"), int(t.tile_idx).to_bytes(4, "little"), i.to_bytes(4, "little")):
+                h = xxhash.xxh64_intdigest(part, seed=h)
+            x1, y1, x2, y2 = b + [t.col_off, t.row_off] * 2
+            rows.append((t.raster_id, h - (1 << 64) * (h >> 63), int(k), c, x1, y1, x2, y2))
+    want = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[1])):
+        def iou(o):
+            w, h = min(r[6], o[6]) - max(r[4], o[4]), min(r[7], o[7]) - max(r[5], o[5])
+            both = max(0, w) * max(0, h)
+            return both / ((r[6] - r[4]) * (r[7] - r[5]) + (o[6] - o[4]) * (o[7] - o[5]) - both)
+
+        if all(o[0] != r[0] or o[2] != r[2] or iou(o) <= 0.5 for o in want):
+            want.append(r)
+    got = QUERIES["detect_tiled"](spark, sf_dir).toPandas()
+    assert len(rows) > len(want) > 50 and got["det_id"].is_unique
+    frame = pd.DataFrame(want, columns=["raster_id", "det_id", "class_id", "confidence", "x1", "y1", "x2", "y2"]).sort_values("det_id")
+    got = got.sort_values("det_id")
+    assert got["det_id"].tolist() == frame["det_id"].tolist()
+    assert got["class_id"].tolist() == frame["class_id"].tolist() and got["class_name"].tolist() == [NAMES[k] for k in frame["class_id"]]
+    np.testing.assert_allclose(got["confidence"], frame["confidence"])
+    np.testing.assert_allclose(got["centroid_x"], 500000 + 0.3 * (frame["x1"] + frame["x2"]) / 2)
+    np.testing.assert_allclose(got["area"], 0.09 * (frame["x2"] - frame["x1"]) * (frame["y2"] - frame["y1"]))
+
+
+class CountingDetector(model.BrightBlocks):
+    calls = None
+
+    def predict(self, tiles, threshold):
+        CountingDetector.calls.add(len(tiles))
+        return super().predict(tiles, threshold)
+
+
+def test_the_model_runs_once_for_each_tile(spark, sf_dir):
+    from tilewright.plans.detect import derived_scene_tiles, detect_tiles
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        CountingDetector.calls = calls
+        return CountingDetector()
+
+    tiles = derived_scene_tiles(spark, sf_dir)
+    detect_tiles(tiles, make, names={1: "a"}, classes=["a", "class_2"]).collect()
+    assert calls.value == tiles.count()
+
+
+def test_class_filter_by_given_names_only(spark, sf_dir):
+    from tilewright.plans.detect import derived_scene_tiles, detect_tiles
+
+    tiles = derived_scene_tiles(spark, sf_dir)
+    ids = lambda **o: {r[0] for r in detect_tiles(tiles, names={1: "a"}, classes=["a", "class_2"], **o).select("class_id").distinct().collect()}
+    assert ids() == {1} and ids(fallback_names=True) == {1, 2}
+
+
+def test_numbers_follow_the_order(spark):
+    from tilewright.operators.numbering import numbered
+
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "id % 3 AS z").repartition(7)
+    assert [r.n for r in numbered(df, ["k"], "n").orderBy("k").collect()] == list(range(1000))
+    assert numbered(df.limit(0), ["k"], "n").collect() == []
+
+
+def test_a_bad_file_is_a_row(spark, tmp_path):
+    (tmp_path / "bad.tif").write_bytes(b"not a raster")
+    (got,) = geotiff.unreadable(spark, str(tmp_path)).collect()
+    assert got.path.endswith("bad.tif") and got.detections == -1 and got.error
+
+
+def test_models_that_can_prepare_themselves():
+    class Able:
+        num_select = 77
+
+        def optimize_for_inference(self, batch_size):
+            self.batch = batch_size
+
+    own = Able()
+    assert model.optimised(own, 4) and own.batch == 4 and model.num_select(own) == 77
+    assert not model.optimised(object()) and model.num_select() == 300
+    model.unoptimised(own)
+
+
+def test_no_temporary_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tilewright.plans.state import ensure_checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))

@@ -37,12 +37,9 @@ INPUTS = {
         ["orders"],
         """SELECT o_orderkey AS ann_id, o_custkey % 16 AS scene, o_orderpriority AS class_name, CAST((o_orderkey * 613) % 1200 AS DOUBLE) AS x1,
   CAST((o_orderkey * 389) % 1200 AS DOUBLE) AS y1, CAST((o_orderkey * 613) % 1200 + 5 + o_orderkey % 60 AS DOUBLE) AS x2,
-  CAST((o_orderkey * 389) % 1200 + 4 + o_orderkey % 45 AS DOUBLE) AS y2 FROM orders WHERE o_orderkey % 8 = 0""",
+  CAST((o_orderkey * 389) % 1200 + 4 + o_orderkey % 45 AS DOUBLE) AS y2 FROM orders""",
     ),
 }
-#: Scenes of the annotations, as rasters of 1,280 pixels.
-RASTERS16 = "SELECT CAST(s AS BIGINT) AS scene, CAST(1280 AS INT) AS width, CAST(1280 AS INT) AS height FROM "
-GRID16 = "RASTERS"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -354,12 +351,13 @@ def _offset_boxes(spark, sf_dir):
     return _input(spark, sf_dir, "det").select("det_id", *bx.offset(F.col("scene") * 64, F.col("scene") * 32))
 
 
-PLACED_SQL = "SELECT {} FROM det JOIN scene ON det.det_id = scene.raster_id"
+#: Every detection in one of the sixteen rasters that have its scene.
+PLACED_SQL = "SELECT {} FROM det JOIN scene ON det.scene + 1 = scene.raster_id"
 
 
 def _placed(spark, sf_dir):
     d, s = _input(spark, sf_dir, "det"), _input(spark, sf_dir, "scene")
-    return d.join(s, F.col("det_id") == F.col("raster_id"))
+    return d.join(F.broadcast(s.where("raster_id <= 16")), F.col("scene") + 1 == F.col("raster_id"))  # sixteen rows
 
 
 @query(
@@ -399,14 +397,14 @@ def _centroids(spark, sf_dir):
 
 @query(
     "quad_area",
-    PLACED_SQL.format("det_id, round(abs(a * e - b * d) * (x2 - x1) * (y2 - y1), 0) AS area_m2"),
+    PLACED_SQL.format("det_id, round(abs(a * e - b * d) * (x2 - x1) * (y2 - y1) * 1.0000001::DOUBLE, 3) AS area_m2"),
     ("det", "scene"),
 )
 def _quad_area(spark, sf_dir):
     q = _placed(spark, sf_dir).select("det_id", bx.quad(_affine(), bx.box()).alias("ring"))
     # relative to the ring's first corner, where products are small enough to keep their digits
     moved = F.transform("ring", lambda p: F.struct((p["x"] - F.col("ring")[0]["x"]).alias("x"), (p["y"] - F.col("ring")[0]["y"]).alias("y")))
-    return q.select("det_id", F.round(bx.ring_area(moved), 0).alias("area_m2"))
+    return q.select("det_id", F.round(bx.ring_area(moved) * 1.0000001, 3).alias("area_m2"))  # off ties of rounding
 
 
 # --- overlaps and suppression -------------------------------------------------
@@ -699,8 +697,9 @@ def _min_area(spark, sf_dir):
     return spatial.at_least(_coco(spark, sf_dir), 400).select("scene", "tile_idx", "ann_id")
 
 
-MARKED_SQL = TILES16_SQL + """, small AS (SELECT scene, tile_idx FROM met WHERE ann_id % 64 = 0 GROUP BY 1, 2),
-marked AS (SELECT t.scene, t.tile_idx, s.scene IS NOT NULL AS annotated FROM tiles t LEFT JOIN small s USING (scene, tile_idx))
+#: The scenes as the left part of rasters three times as wide, so that there are tiles without annotations.
+MARKED_SQL = TILES16_SQL.replace("range(0, 1280, 102)) AS c", "range(0, 3840, 102)) AS c").replace("* 13 + c", "* 38 + c").replace("least(c + 128, 1280)", "least(c + 128, 3840)") + """, seen AS (SELECT DISTINCT scene, tile_idx FROM met),
+marked AS (SELECT t.scene, t.tile_idx, s.scene IS NOT NULL AS annotated FROM tiles t LEFT JOIN seen s USING (scene, tile_idx))
 """
 
 
@@ -712,8 +711,9 @@ marked AS (SELECT t.scene, t.tile_idx, s.scene IS NOT NULL AS annotated FROM til
     ("ann",),
 )
 def _background_cap(spark, sf_dir):
-    seen = _met(spark, sf_dir).where("ann_id % 64 = 0").select("scene", "tile_idx").distinct().withColumn("annotated", F.lit(True))
-    tiles = _tiles16(spark).join(seen, ["scene", "tile_idx"], "left").fillna(False, "annotated")
+    wide = grid.tile_grid(_scenes(spark).withColumn("width", F.lit(3840)), 128, 0.2, keep=("scene",))
+    seen = spatial.tile_annotations(wide, _input(spark, sf_dir, "ann"), "scene").select("scene", "tile_idx").distinct().withColumn("annotated", F.lit(True))
+    tiles = wide.join(seen, ["scene", "tile_idx"], "left").fillna(False, "annotated")
     return spatial.background_cap(tiles, 0.3, 42, "scene").select("scene", "tile_idx", "annotated")
 
 
@@ -736,7 +736,7 @@ def _class_mapping_given(spark, sf_dir):
 
 
 SPLIT_SQL = """
-WITH cells AS (SELECT raster_id, width, height, row_off, unnest(range(0, width, 32)) AS col_off FROM (SELECT raster_id, width, height, unnest(range(0, height, 32)) AS row_off FROM scene WHERE raster_id % 4 = 0)),
+WITH cells AS (SELECT raster_id, width, height, row_off, unnest(range(0, width, 32)) AS col_off FROM (SELECT raster_id, width, height, unnest(range(0, height, 32)) AS row_off FROM scene)),
 sized AS (SELECT *, greatest(1, width // 32) AS cols, greatest(1, height // 32) AS rws, greatest(1, floor(sqrt(greatest(3, floor(sqrt(count(*) OVER (PARTITION BY raster_id))))))) AS per, col_off // 32 AS gx, row_off // 32 AS gy FROM cells),
 blk AS (SELECT *, greatest(1, ceil(cols / per)) AS bc, greatest(1, ceil(rws / per)) AS br FROM sized),
 blocked AS (SELECT raster_id, gx, gy, (row_off // 32) * ((width + 31) // 32) + col_off // 32 AS tile_idx, CAST(least(floor(gx / bc), greatest(1, ceil(cols / bc)) - 1) AS INT) AS block_x,
@@ -751,7 +751,7 @@ parts AS (SELECT b.raster_id, CAST(b.tile_idx AS INT) AS tile_idx, b.gx, b.gy, b
 
 
 def _split_tiles(spark, sf_dir):
-    s = _input(spark, sf_dir, "scene").where("raster_id % 4 = 0")
+    s = _input(spark, sf_dir, "scene")
     sized = s.select("raster_id", "width", "height", F.struct("width", "height").alias("size"))
     return grid.tile_grid(sized, 32, 0.0, keep=("raster_id", "size")).select("*", "size.width", "size.height").drop("size")
 
@@ -812,13 +812,13 @@ def _bbox_augment(spark, sf_dir):
     "coco_export_rows",
     NAMED_SQL
     + """SELECT CAST(row_number() OVER (ORDER BY det_id) - 1 AS BIGINT) AS id, CAST(0 AS INT) AS image_id, CAST(class_id AS INT) AS category_id, x1 AS bbox_x, y1 AS bbox_y,
-  x2 - x1 AS bbox_w, y2 - y1 AS bbox_h, round((x2 - x1) * (y2 - y1), 6) AS area FROM named WHERE scene = 3""",
+  x2 - x1 AS bbox_w, y2 - y1 AS bbox_h, round((x2 - x1) * (y2 - y1), 6) AS area FROM named""",
     ("det",),
 )
 def _coco_rows(spark, sf_dir):
     from tilewright.sources.sinks import coco_annotations
 
-    out = coco_annotations(_named(spark, sf_dir).where("scene = 3"))
+    out = coco_annotations(_named(spark, sf_dir))
     return out.withColumn("area", F.round("area", 6))
 
 
@@ -859,6 +859,148 @@ def _split_stats(spark, sf_dir):
     return split.block_split(_split_tiles(spark, sf_dir), 32).groupBy("split").agg(F.count("*").alias("tiles"), F.count_distinct("raster_id").alias("rasters"))
 
 
+# --- sources, coordinates and reports beyond boxes --------------------------------
+
+
+@query(
+    "alpha_mask",
+    FOUR_SQL + "SELECT vec_id, CAST(px AS INT) AS px, v = -1 AS gone FROM px WHERE band = 3",
+)
+def _alpha_mask(spark, sf_dir):
+    d = _four_bands(spark, sf_dir)
+    zeroed = F.transform("bands", lambda b: F.transform(b, lambda v: F.when(v == -1, 0.0).otherwise(F.abs(v) + 1)))
+    mask = pixels.alpha_mask(zeroed, F.array(F.lit(1), F.lit(2), F.lit(3)))
+    return d.select("vec_id", F.posexplode(mask).alias("px", "gone"))
+
+
+PLACES_SQL = "WITH places AS (SELECT c_custkey, ((c_custkey * 37) % 3590)::DOUBLE / 10 - 179.5::DOUBLE AS lon, ((c_custkey * 17) % 1600)::DOUBLE / 10 - 79.9::DOUBLE AS lat FROM customer)\n"
+
+
+def _places(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    lon = ((F.col("c_custkey") * 37) % 3590).cast("double") / 10 - 179.5
+    lat = ((F.col("c_custkey") * 17) % 1600).cast("double") / 10 - 79.9
+    return c.select("c_custkey", lon.alias("lon"), lat.alias("lat"))
+
+
+@query("reproject_mercator", PLACES_SQL + "SELECT c_custkey, round(radians(lon) * 6378137, 3) + 0.0::DOUBLE AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) + 0.0::DOUBLE AS y FROM places")
+def _reproject_mercator(spark, sf_dir):
+    ring = geo.reproject_ring(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))), 4326, 3857)
+    p = _places(spark, sf_dir).select("c_custkey", ring[0].alias("p"))
+    return p.select("c_custkey", (F.round("p.x", 3) + 0.0).alias("x"), (F.round("p.y", 3) + 0.0).alias("y"))
+
+
+@query("utm_round_trip", PLACES_SQL + "SELECT c_custkey, round(lon, 7) AS lon, round(lat, 7) AS lat FROM places")
+def _utm_round_trip(spark, sf_dir):
+    zone = geo.utm_epsg(F.col("lon"), F.col("lat"))
+    p = _places(spark, sf_dir).withColumn("zone", zone).withColumn("m", geo.to_utm(F.col("lon"), F.col("lat"), F.col("zone")))
+    p = p.select("c_custkey", geo.from_utm(F.col("m.x"), F.col("m.y"), F.col("zone")).alias("d"))
+    return p.select("c_custkey", F.round("d.x", 7).alias("lon"), F.round("d.y", 7).alias("lat"))
+
+
+@query(
+    "align_annotations",
+    PLACES_SQL
+    + """, corners AS (SELECT c_custkey, i, lon + CASE WHEN i IN (1, 2) THEN 0.25::DOUBLE ELSE 0 END AS lon, lat + CASE WHEN i IN (2, 3) THEN 0.125::DOUBLE ELSE 0 END AS lat FROM places, (VALUES (0), (1), (2), (3)) AS t(i))
+SELECT c_custkey AS ann_id, CAST(i AS INT) AS i, round(radians(lon) * 6378137, 3) + 0.0::DOUBLE AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) + 0.0::DOUBLE AS y FROM corners""",
+)
+def _align_annotations(spark, sf_dir):
+    from tilewright.plans.training import align
+
+    corner = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    ring = F.array(corner(0.0, 0.0), corner(0.25, 0.0), corner(0.25, 0.125), corner(0.0, 0.125))
+    own = align(_places(spark, sf_dir).select(F.col("c_custkey").alias("ann_id"), F.array(ring).alias("rings")), 4326, 3857)
+    points = own.select("ann_id", F.posexplode(F.col("rings")[0]).alias("i", "p"))
+    return points.select("ann_id", "i", (F.round("p.x", 3) + 0.0).alias("x"), (F.round("p.y", 3) + 0.0).alias("y"))
+
+
+@query("areas_m2", "SELECT det_id, round((x2 - x1) * (y2 - y1) * 1.0000001::DOUBLE, 3) AS area_m2 FROM det", ("det",))
+def _areas_m2(spark, sf_dir):
+    from tilewright.session import areas_m2
+
+    unit = F.struct(*[F.lit(v).alias(c) for c, v in zip("abcdef", (1.0, 0.0, 500000.0, 0.0, -1.0, 4000000.0), strict=True)])
+    own = areas_m2(_input(spark, sf_dir, "det").select("det_id", bx.quad(unit, bx.box()).alias("ring")), 32633)
+    return own.select("det_id", F.round(F.col("area_m2") * 1.0000001, 3).alias("area_m2"))
+
+
+@query(
+    "geojson_features",
+    "SELECT det_id, class_id, CAST(i AS INT) AS i, round((CASE WHEN i IN (1, 2) THEN x2 ELSE x1 END) / 100, 6) + 0.0::DOUBLE AS lon, round(-(CASE WHEN i IN (2, 3) THEN y2 ELSE y1 END) / 100, 6) + 0.0::DOUBLE AS lat FROM det, (VALUES (0), (1), (2), (3), (4)) AS t(i)",
+    ("det",),
+)
+def _geojson_features(spark, sf_dir):
+    """Features are written as text and read back from it."""
+    from tilewright.sources.sinks import features
+
+    hundredth = F.struct(*[F.lit(v).alias(c) for c, v in zip("abcdef", (0.01, 0.0, 0.0, 0.0, -0.01, 0.0), strict=True)])
+    rows = _input(spark, sf_dir, "det").select("det_id", "class_id", bx.quad(hundredth, bx.box()).alias("ring"))
+    schema = "type string, properties struct<det_id: bigint, class_id: int>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    read = features(rows, 4326).select(F.from_json("value", schema).alias("f")).where("f.type = 'Feature' AND f.geometry.type = 'Polygon'")
+    points = read.select("f.properties.det_id", "f.properties.class_id", F.posexplode(F.col("f.geometry.coordinates")[0]).alias("i", "p"))
+    return points.select("det_id", "class_id", "i", (F.col("p")[0] + 0.0).alias("lon"), (F.col("p")[1] + 0.0).alias("lat"))
+
+
+@query(
+    "bounds_window",
+    """SELECT raster_id, CAST(10 AS INT) AS col_off, CAST(20 AS INT) AS row_off, CAST(31 AS INT) AS w, CAST(41 AS INT) AS h FROM scene WHERE b = 0 AND d = 0""",
+    ("scene",),
+)
+def _bounds_window(spark, sf_dir):
+    """An area that begins and ends a quarter into pixels takes these whole; rasters that aren't turned."""
+    from tilewright.sources.resolve import window_of
+
+    s = _input(spark, sf_dir, "scene").where("b = 0 AND d = 0")
+    x, y = (lambda k: F.col("c") + F.col("a") * k), (lambda k: F.col("f") + F.col("e") * k)
+    return s.select("raster_id", window_of(_affine(), x(10.25), y(60.25), x(40.25), y(20.25)).alias("w")).select("raster_id", "w.*")
+
+
+@query(
+    "latest_item",
+    """SELECT o_orderkey AS id, o_custkey AS provider FROM orders WHERE (o_orderkey * 613) % 340 - 180 <= 5 AND (o_orderkey * 613) % 340 - 160 >= 5
+  AND (o_orderkey * 389) % 160 - 85 <= 10 AND (o_orderkey * 389) % 160 - 70 >= 10 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'
+ORDER BY o_orderdate DESC, o_orderkey LIMIT 1""",
+)
+def _latest_item(spark, sf_dir):
+    from tilewright.sources.resolve import latest_item
+
+    o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    x, y = (k * 613) % 340 - 180, (k * 389) % 160 - 85
+    items = o.select(k.alias("id"), F.col("o_custkey").alias("provider"), F.array(x, y, x + 20, y + 15).alias("bbox"), F.col("o_orderdate").cast("date").alias("datetime"))
+    return latest_item(items, 5, 10, "1993-01-01", "1997-12-31").select("id", "provider")
+
+
+@query("top_classes", NAMED_SQL + "SELECT class_name, count(*) AS n FROM named GROUP BY class_name ORDER BY n DESC, class_name LIMIT 3", ("det",))
+def _top_classes(spark, sf_dir):
+    return reports.top_classes(_named(spark, sf_dir), 3)
+
+
+@query(
+    "model_registry",
+    """SELECT model_size, CAST(resolution AS INT) AS resolution, CAST(block_size AS INT) AS block_size, CAST(patch_size AS INT) AS patch_size, CAST(num_windows AS INT) AS num_windows, approx_params, license, CAST(300 AS INT) AS num_select
+FROM (VALUES ('nano', 384, 32, 16, 2, '15M', 'Apache 2.0'), ('small', 512, 32, 16, 2, '22M', 'Apache 2.0'), ('medium', 576, 32, 16, 2, '25M', 'Apache 2.0'),
+  ('base', 560, 56, 14, 4, '29M', 'Apache 2.0'), ('large', 704, 32, 16, 2, '30M', 'Apache 2.0')) AS t(model_size, resolution, block_size, patch_size, num_windows, approx_params, license)""",
+)
+def _model_registry(spark, sf_dir):
+    from tilewright.model import VARIANTS, model_info, num_select
+
+    names = ("model_size", "resolution", "block_size", "patch_size", "num_windows", "approx_params", "license")
+    rows = [(*(model_info(v)[n] for n in names), num_select()) for v in VARIANTS]
+    return spark.createDataFrame(rows, "model_size string, resolution int, block_size int, patch_size int, num_windows int, approx_params string, license string, num_select int")
+
+
+@query(
+    "scene_limits",
+    """WITH px AS (SELECT vec_id % 10 AS raster_id, (i - 1) // 16 AS band, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))
+SELECT raster_id, CAST(band AS INT) AS band, round(quantile_cont(v, 0.02), 6) AS vmin, round(quantile_cont(v, 0.98), 6) AS vmax FROM px GROUP BY raster_id, band""",
+)
+def _scene_limits_query(spark, sf_dir):
+    from tilewright.plans.detect import derived_scene_tiles, scene_limits
+
+    own = scene_limits(derived_scene_tiles(spark, sf_dir))
+    rows = own.select("raster_id", F.posexplode(F.arrays_zip("vmin", "vmax")).alias("band", "l"))
+    return rows.select("raster_id", "band", F.round("l.vmin", 6).alias("vmin"), F.round("l.vmax", 6).alias("vmax"))
+
+
 @query(
     "detect_tiled",
     None,

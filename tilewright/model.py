@@ -15,16 +15,20 @@ from tilewright.errors import BandError, ModelError
 
 #: Variant -> (resolution, patch, windows); a block is a patch times the windows.
 VARIANTS = {"nano": (384, 16, 2), "small": (512, 16, 2), "medium": (576, 16, 2), "base": (560, 14, 4), "large": (704, 16, 2)}
-#: The 80 class names of a common dataset; ids from 1 to 90 leave out those of ``COCO_GAPS``.
-COCO_NAMES = (
-    "person,bicycle,car,motorcycle,airplane,bus,train,truck,boat,traffic light,fire hydrant,stop sign,parking meter,bench,bird,cat,dog,horse,"
-    "sheep,cow,elephant,bear,zebra,giraffe,backpack,umbrella,handbag,tie,suitcase,frisbee,skis,snowboard,sports ball,kite,baseball bat,"
-    "baseball glove,skateboard,surfboard,tennis racket,bottle,wine glass,cup,fork,knife,spoon,bowl,banana,apple,sandwich,orange,broccoli,carrot,"
-    "hot dog,pizza,donut,cake,chair,couch,potted plant,bed,dining table,toilet,tv,laptop,mouse,remote,keyboard,cell phone,microwave,oven,toaster,"
-    "sink,refrigerator,book,clock,vase,scissors,teddy bear,hair drier,toothbrush"
-).split(",")
-COCO_GAPS = (12, 26, 29, 30, 45, 66, 68, 69, 71, 83)
-COCO_LABELS = dict(zip([i for i in range(1, 91) if i not in COCO_GAPS], COCO_NAMES, strict=True))
+#: Class id -> name of a common dataset.
+# fmt: off
+COCO_LABELS = {
+    1: "person", 2: "bicycle", 3: "car", 4: "motorcycle", 5: "airplane", 6: "bus", 7: "train", 8: "truck", 9: "boat", 10: "traffic light",
+    11: "fire hydrant", 13: "stop sign", 14: "parking meter", 15: "bench", 16: "bird", 17: "cat", 18: "dog", 19: "horse", 20: "sheep", 21: "cow",
+    22: "elephant", 23: "bear", 24: "zebra", 25: "giraffe", 27: "backpack", 28: "umbrella", 31: "handbag", 32: "tie", 33: "suitcase", 34: "frisbee",
+    35: "skis", 36: "snowboard", 37: "sports ball", 38: "kite", 39: "baseball bat", 40: "baseball glove", 41: "skateboard", 42: "surfboard",
+    43: "tennis racket", 44: "bottle", 46: "wine glass", 47: "cup", 48: "fork", 49: "knife", 50: "spoon", 51: "bowl", 52: "banana", 53: "apple",
+    54: "sandwich", 55: "orange", 56: "broccoli", 57: "carrot", 58: "hot dog", 59: "pizza", 60: "donut", 61: "cake", 62: "chair", 63: "couch",
+    64: "potted plant", 65: "bed", 67: "dining table", 70: "toilet", 72: "tv", 73: "laptop", 74: "mouse", 75: "remote", 76: "keyboard",
+    77: "cell phone", 78: "microwave", 79: "oven", 80: "toaster", 81: "sink", 82: "refrigerator", 84: "book", 85: "clock", 86: "vase", 87: "scissors",
+    88: "teddy bear", 89: "hair drier", 90: "toothbrush",
+}
+# fmt: on
 
 
 def variant(name: str) -> dict[str, int]:
@@ -34,6 +38,23 @@ def variant(name: str) -> dict[str, int]:
     return {"resolution": resolution, "patch": patch, "windows": windows, "block_size": patch * windows}
 
 
+#: About how many parameters a variant has; the licence of all; the most boxes that a model gives of an image.
+PARAMETERS = {"nano": "15M", "small": "22M", "medium": "25M", "base": "29M", "large": "30M"}
+LICENCE, NUM_SELECT = "Apache 2.0", 300
+
+
+def num_select(model: object | None = None) -> int:
+    """The most boxes that a model gives of an image: its own figure, else the usual one."""
+    return int(getattr(model, "num_select", NUM_SELECT))
+
+
+def model_info(name: str, device_name: str = "cpu", loaded: bool = False) -> dict[str, object]:
+    """What there is to know of a variant and where it runs."""
+    v = variant(name)
+    sizes = {"resolution": v["resolution"], "block_size": v["block_size"], "patch_size": v["patch"], "num_windows": v["windows"]}
+    return {"model_size": name, **sizes, "license": LICENCE, "approx_params": PARAMETERS[name], "device": device_name, "is_loaded": loaded}
+
+
 def registry(spark: SparkSession) -> DataFrame:
     """(variant, resolution, patch, windows, block_size)."""
     rows = [(n, *variant(n).values()) for n in VARIANTS]
@@ -128,17 +149,48 @@ def normalise(found: object) -> list[dict]:
 _MODELS: dict[object, Detector] = {}
 
 
-def detect(tiles: DataFrame, make: Callable[[], Detector] = BrightBlocks, threshold: float = 0.5, batch: int = 8) -> DataFrame:
-    """(raster_id, tile_idx, x1..y2, confidence, class_id): the boxes of each tile, in its own pixels.
+def optimised(model: Detector, batch: int = 1) -> bool:
+    """Asks a model that can to prepare itself for many batches; whether it did. A model that fails at it still runs."""
+    try:
+        model.optimize_for_inference(batch_size=batch)  # type: ignore[attr-defined]
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
+def unoptimised(model: Detector) -> None:
+    """Takes a model's preparation back, if it can."""
+    try:
+        model.remove_optimization()  # type: ignore[attr-defined]
+    except Exception:  # noqa: BLE001
+        return
+
+
+def _loaded(make: Callable[[], Detector], optimise: bool, batch: int) -> Detector:
+    """The worker's model: built when first asked for, once for each way of use."""
+    key = (make, optimise)
+    if key not in _MODELS:
+        _MODELS[key] = make()
+        if optimise:
+            optimised(_MODELS[key], batch)
+    return _MODELS[key]
+
+
+def detect(
+    tiles: DataFrame, make: Callable[[], Detector] = BrightBlocks, threshold: float = 0.5, batch: int = 8, keep: tuple[str, ...] = (), optimise: bool = False
+) -> DataFrame:
+    """(raster_id, tile_idx, ordinal, x1..y2, confidence, class_id, keep...): the boxes of each tile, in its own pixels.
 
     ``tiles`` has raster_id, tile_idx, h, w and bands, array<array<float>> of
     three bands from 0 to 1. ``make`` builds the model, once in a Python worker.
+    ``ordinal`` counts a tile's boxes from 0; the plain columns ``keep`` go along.
     """
-    kind = dict(tiles.dtypes)["raster_id"]
-    schema = f"raster_id {kind}, tile_idx int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
+    kinds = dict(tiles.dtypes)
+    schema = f"raster_id {kinds['raster_id']}, tile_idx int, ordinal int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
+    schema += "".join(f", {c} {kinds[c]}" for c in keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _MODELS.setdefault(make, None) or _MODELS.__setitem__(make, make()) or _MODELS[make]
+        model = _loaded(make, optimise, batch)
         for frame in frames:
             for k in range(0, len(frame), batch):
                 part = frame.iloc[k : k + batch]
@@ -146,12 +198,11 @@ def detect(tiles: DataFrame, make: Callable[[], Detector] = BrightBlocks, thresh
                 for h, w, bands in zip(part["h"], part["w"], part["bands"], strict=True):
                     cube = np.stack([np.asarray(b, np.float32) for b in bands]).reshape(len(bands), h, w)
                     images.append((np.clip(cube, 0, 1) * 255).astype(np.uint8).transpose(1, 2, 0))
-                rows = [
-                    {"raster_id": r, "tile_idx": t, **d}
-                    for r, t, found in zip(part["raster_id"], part["tile_idx"], model.predict(images, threshold), strict=True)
-                    for d in normalise(found)
-                ]
-                yield pd.DataFrame(rows, columns=["raster_id", "tile_idx", "x1", "y1", "x2", "y2", "confidence", "class_id"])
-
-    own = tiles.select("raster_id", "tile_idx", "h", "w", "bands")
+                found = [normalise(x) for x in model.predict(images, threshold)]
+                at = np.repeat(np.arange(len(part)), [len(x) for x in found])
+                boxes = [{"ordinal": i, **d} for x in found for i, d in enumerate(x)]
+                out = pd.DataFrame(boxes, columns=["ordinal", "x1", "y1", "x2", "y2", "confidence", "class_id"])
+                yield pd.concat([part[["raster_id", "tile_idx"]].iloc[at].reset_index(drop=True), out, part[list(keep)].iloc[at].reset_index(drop=True)], axis=1)
+
+    own = tiles.select("raster_id", "tile_idx", "h", "w", "bands", *keep)
     return own.mapInPandas(run, schema).where(F.col("confidence") >= threshold)

@@ -12,6 +12,11 @@ def class_counts(df: DataFrame, by: str = "class_name") -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
 
 
+def top_classes(df: DataFrame, n: int = 15, by: str = "class_name") -> DataFrame:
+    """The ``n`` most frequent classes with their counts, the most frequent first; ties by name."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(n)
+
+
 def confidence_stats(df: DataFrame, score: str = "confidence") -> DataFrame:
     return df.agg(
         F.min(score).alias("min_conf"), F.avg(score).alias("mean_conf"), F.median(score).alias("median_conf"), F.max(score).alias("max_conf")

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.plans.state import cut
+
 SPLITS = ("train", "val", "test")
 
 
@@ -91,7 +93,7 @@ def block_split(
     named = dealt.select(*key, F.when(n <= 2, F.lit("train")).otherwise(_by_rank(F.col("rank"), n, ratios, 1)).alias("split"))
     split = own.join(named, key)
     if buffer:
-        split = mark_buffer(split, buffer, raster)
+        split = mark_buffer(cut(split), buffer, raster)
     return split
 
 

@@ -1,7 +1,11 @@
-"""Tiled detection as one plan: tiles -> stretch -> model -> offset -> suppression -> labels and places.
+"""Tiled detection: tiles -> stretch -> model -> offset -> suppression -> labels and places.
 
-One shuffle: boxes by (raster, class). Tiles without data go before the model
-runs, and confidence is filtered below the suppression.
+Tiles without data go before the model runs, and confidence is filtered below
+the suppression. The model runs once: its boxes are written to the checkpoint
+folder, as suppression reads them twice, to count groups and to thin them; they
+then move by (raster, class). Limits of the stretch are given, one row for each
+raster, as ``geotiff.read_limits`` samples them; where they aren't, they are worked
+out over all pixels of ``tiles``, which is for small rasters.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from tilewright.functions import boxes as bx
 from tilewright.functions import labels, pixels
 from tilewright.model import BrightBlocks, Detector, detect
 from tilewright.operators.nms import nms
+from tilewright.plans.state import cut
 
 
 def scene_limits(tiles: DataFrame, mode: str = "percentile", low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -41,28 +46,37 @@ def detect_tiles(
     mode: str = "percentile",
     classes: list[str] | None = None,
     names: Mapping[int, str] | None = None,
+    limits: DataFrame | None = None,
+    fallback_names: bool = False,
+    batch: int = 8,
 ) -> DataFrame:
     """Detections of tiles (raster_id, affine, tile_idx, col_off, row_off, w, h, bands, mask).
 
+    ``limits`` is (raster_id, vmin, vmax). ``classes`` are names out of ``names``;
+    with ``fallback_names``, a class without a name also goes by ``class_`` and its id.
+    The model runs when this is called.
+
     Returns raster_id, det_id, class_id, class_name, confidence, x1..y2, ring,
     centroid_x, centroid_y and area, in the raster's coordinates.
     """
     kept = tiles.where(pixels.nodata_fraction(F.col("mask")) <= nodata_threshold)
     if mode != "none":
-        limits = scene_limits(tiles, mode).withColumnRenamed("raster_id", "__r")
+        limits = (scene_limits(tiles, mode) if limits is None else limits).withColumnRenamed("raster_id", "__r")
         kept = kept.join(limits, F.col("raster_id") == F.col("__r")).drop("__r")
         kept = kept.withColumn("bands", pixels.fill_nodata(F.col("bands"), F.col("mask")))
         kept = kept.withColumn("bands", pixels.stretch_bands(F.col("bands"), F.col("vmin"), F.col("vmax")))
     three = F.when(F.size("bands") == 1, F.array_repeat(F.get("bands", F.lit(0)), 3)).otherwise(F.slice("bands", 1, 3))
-    found = detect(kept.withColumn("bands", three), make, threshold)
-    windows = tiles.select(F.col("raster_id").alias("__r"), F.col("tile_idx").alias("__t"), "col_off", "row_off", "affine")
-    placed = found.join(windows, (F.col("raster_id") == F.col("__r")) & (F.col("tile_idx") == F.col("__t")))
-    own = placed.select("raster_id", "tile_idx", *bx.offset("col_off", "row_off"), "confidence", "class_id", "affine")
-    own = own.withColumn("det_id", F.xxhash64("raster_id", "tile_idx", "x1", "y1", "x2", "y2", "class_id"))
+    flat = [F.col(f"affine.{c}").alias(f"__{c}") for c in "abcdef"]
+    placed = ("col_off", "row_off", *(f"__{c}" for c in "abcdef"))
+    found = detect(kept.select("*", *flat).withColumn("bands", three), make, threshold, batch, placed)
+    affine = F.struct(*[F.col(f"__{c}").alias(c) for c in "abcdef"]).alias("affine")
+    own = found.select("raster_id", "tile_idx", *bx.offset("col_off", "row_off"), "confidence", "class_id", "ordinal", affine)
+    own = own.withColumn("det_id", F.xxhash64("raster_id", "tile_idx", "ordinal")).drop("ordinal")
     own = own.withColumn("class_name", labels.class_label(F.col("class_id"), names))
-    if classes is not None:
-        own = own.where(F.col("class_name").isin(classes))  # commutes with suppression, which is within a class
-    stays = nms(own, nms_threshold)
+    if classes is not None:  # commutes with suppression, which is within a class
+        named = F.col("class_id").isin([i for i, n in (names or {}).items() if n in classes])
+        own = own.where(F.col("class_name").isin(classes) if fallback_names else named)
+    stays = nms(cut(own), nms_threshold)
     quad = bx.quad(F.col("affine"), bx.box())
     centre = bx.quad_centroid(F.col("affine"), bx.box())
     det = F.abs(F.col("affine.a") * F.col("affine.e") - F.col("affine.b") * F.col("affine.d"))

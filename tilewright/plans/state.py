@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which executors share; a temporary one is set only where none is named."""
+    """The session's checkpoint folder, which executors share.
+
+    Where spark.checkpoint.dir names none, a temporary folder is set in local
+    mode; on a cluster no folder of one machine would do, so that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tilewright-"))
     return context.getCheckpointDir()
 
 

@@ -16,7 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.errors import CRSError, ModelError
@@ -26,6 +26,7 @@ from tilewright.functions.clip import clip_ring
 from tilewright.functions.geo import reproject_ring
 from tilewright.operators import spatial
 from tilewright.operators.augment import AUGMENTATION_PRESETS, AugmentationPreset, augment
+from tilewright.operators.numbering import numbered
 from tilewright.operators.split import block_split, random_split
 from tilewright.plans.state import cut
 from tilewright.sources.vectors import bounds
@@ -91,15 +92,12 @@ def plan_dataset(
 
 def number(stay: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) with ids: images from 0 within a split and annotations from 0 over all, in tile order."""
-    images = stay.withColumn("image_id", F.row_number().over(Window.partitionBy("split").orderBy("raster_id", "tile_idx")) - 1)
+    all_ = numbered(stay, ["split", "raster_id", "tile_idx"], "__n")
+    firsts = all_.groupBy("split").agg(F.min("__n").alias("__first")).withColumnRenamed("split", "__split")  # a row for each split
+    images = all_.join(F.broadcast(firsts), F.col("split") == F.col("__split"))
+    images = images.withColumn("image_id", F.col("__n") - F.col("__first")).drop("__n", "__first", "__split")
     named = boxes.join(images.select("raster_id", "tile_idx", "image_id"), ["raster_id", "tile_idx"])
-    parts = named.repartitionByRange("raster_id", "tile_idx", "ann_id").withColumn("part", F.spark_partition_id())
-    parts = cut(parts)
-    sizes = parts.groupBy("part").count()  # a row for each partition
-    before = sizes.select(F.col("part").alias("p"), (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("raster_id", "tile_idx", "ann_id", "bx", "by")) - 1
-    numbered = parts.withColumn("own", own).join(F.broadcast(before), F.col("part") == F.col("p"))
-    return images, numbered.withColumn("id", F.col("own") + F.col("before")).drop("own", "part", "p", "before")
+    return images, numbered(named, ["raster_id", "tile_idx", "ann_id", "bx", "by"])
 
 
 def png(pixels_: np.ndarray) -> bytes:
@@ -130,15 +128,16 @@ def images_of(tiles_with_pixels: DataFrame, nodata_threshold: float = 0.5) -> Da
     return own.mapInPandas(run, f"raster_id {kind}, tile_idx int, png binary")
 
 
-def write_dataset(images: DataFrame, annotations: DataFrame, classes: dict[str, int], folder: str, pngs: DataFrame | None = None) -> dict[str, Any]:
+def write_dataset(images: DataFrame, annotations: DataFrame, classes: dict[str, int], folder: str, pngs: DataFrame | None = None, offered: int | None = None) -> dict[str, Any]:
     """{train,valid,test} folders with _annotations.coco.json each, and counts.
 
     With ``pngs`` images are written beside, by the tasks that made them; the
-    folder must then be shared by all executors.
+    folder must then be shared by all executors. ``offered``, the number of tiles
+    before any was put aside, gives skipped_tiles.
     """
     import os
 
-    stats: dict[str, Any] = {"num_classes": len(classes), "class_mapping": dict(classes)}
+    stats: dict[str, Any] = {"num_classes": len(classes), "class_mapping": dict(classes), "skipped_annotations": 0}
     names = {v: k for k, v in FOLDERS.items()}
     for place, split in names.items():
         os.makedirs(f"{folder}/{place}/images", exist_ok=True)
@@ -166,6 +165,9 @@ def write_dataset(images: DataFrame, annotations: DataFrame, classes: dict[str,
                         f.write(r["png"])
 
             named.foreachPartition(save)
+        stats[f"{split}_images"] = stats[f"{split}_tiles"]
+    if offered is not None:
+        stats["skipped_tiles"] = offered - sum(stats[f"{s}_images"] for s in names.values())
     return stats
 
 

@@ -15,7 +15,7 @@ from tilewright.model import BrightBlocks, Detector
 from tilewright.operators.spatial import display_filter, top_n
 from tilewright.plans.detect import detect_tiles
 from tilewright.sources import sinks
-from tilewright.sources.geotiff import read_metadata, read_tiles
+from tilewright.sources.geotiff import read_limits, read_metadata, read_tiles
 from tilewright.sources.resolve import resolve
 
 FULL_READ_WARNS_AT = 1_000_000_000
@@ -31,7 +31,7 @@ class RasterDetector:
         self.meta: dict | None = None
         self.detections: DataFrame | None = None
         self._epsg: int | None = None
-        self._georeferenced = True
+        self._georeferenced, self._crs_given = True, False
 
     @property
     def crs(self) -> int | None:
@@ -41,14 +41,14 @@ class RasterDetector:
     def crs(self, value: object) -> None:
         if not isinstance(value, (str, int)) or isinstance(value, bool):
             raise CRSError(f"not a coordinate system: {value!r}", crs=value)
-        self._epsg, self._georeferenced = parse_epsg(value), True
+        self._epsg, self._georeferenced, self._crs_given = parse_epsg(value), True, True
 
     def set_image(self, source: object, bands: str | list[int] = "rgb", georeferenced: bool = True, suppress_gsd_warning: bool = False) -> RasterDetector:
         """Reads metadata only."""
         self.path, self.bands, self._georeferenced = resolve(source), band_numbers(bands), georeferenced
         first = read_metadata(self.spark, self.path).first()
         self.meta = first.asDict(recursive=True) if first else None
-        self._epsg = self.meta["epsg"] if self.meta else None
+        self._epsg, self._crs_given = self.meta["epsg"] if self.meta else None, False
         if georeferenced and self._epsg is None:
             raise MissingCRSError("the raster has no coordinate system; set crs or georeferenced=False", source=self.path)
         if not suppress_gsd_warning and self.meta:
@@ -58,25 +58,26 @@ class RasterDetector:
     def _tiles(self, tile: int, overlap: float) -> DataFrame:
         if self.path is None or self.meta is None:
             raise ValueError("set_image comes first")
-        count = self.meta["band_count"]
-        return read_tiles(self.spark, self.path, tile, overlap, [min(b, count) for b in self.bands])
+        return read_tiles(self.spark, self.path, tile, overlap, self.bands)
 
     def detect(self, threshold: float = 0.5, classes: list[str] | None = None) -> DataFrame:
         """The whole raster as one tile."""
         size = max(self.meta["width"], self.meta["height"]) if self.meta else 1
         if self.meta and self.meta["width"] * self.meta["height"] * 12 > FULL_READ_WARNS_AT:
             warnings.warn("the whole raster is read at once; detect_tiled reads windows", ResourceWarning, stacklevel=2)
-        return self._detected(self._tiles(size, 0.0), threshold, 1.0, classes)
+        return self._detected(self._tiles(size, 0.0), threshold, 1.0, classes, fallback_names=True)
 
     def detect_tiled(
         self, tile: int = 576, overlap: float = 0.2, threshold: float = 0.5, nms_threshold: float = 0.5, nodata_threshold: float = 0.5, classes: list[str] | None = None
     ) -> DataFrame:
         return self._detected(self._tiles(tile, overlap), threshold, nms_threshold, classes, nodata_threshold)
 
-    def _detected(self, tiles: DataFrame, threshold: float, nms_threshold: float, classes: list[str] | None, nodata: float = 1.0) -> DataFrame:
-        found = detect_tiles(tiles, self.make, threshold, nms_threshold, nodata, "percentile", classes, self.names)
-        gsd = self.meta["gsd_m"] if self.meta else None
-        found = found.withColumns({"epsg": F.lit(self._epsg).cast("int"), "gsd_m": F.lit(gsd).cast("double")})
+    def _detected(self, tiles: DataFrame, threshold: float, nms_threshold: float, classes: list[str] | None, nodata: float = 1.0, fallback_names: bool = False) -> DataFrame:
+        limits = read_limits(self.spark, self.path, self.bands) if self.path else None
+        found = detect_tiles(tiles, self.make, threshold, nms_threshold, nodata, "percentile", classes, self.names, limits, fallback_names)
+        own = read_metadata(self.spark, self.path).select(F.col("raster_id").alias("__r"), F.col("epsg").alias("__e"), "gsd_m")  # a row for each raster
+        given = F.lit(self._epsg if self._crs_given else None).cast("int")
+        found = found.join(own, F.col("raster_id") == F.col("__r"), "left").withColumn("epsg", F.coalesce(given, "__e")).drop("__r", "__e")
         self.detections = found if self._georeferenced else found.drop("ring", "centroid_x", "centroid_y", "area", "epsg")
         return self.detections
 

@@ -260,7 +260,7 @@ def read_tiles(spark: SparkSession, path: str, tile: int = 576, overlap: float =
 
 
 def tiles_of(files: DataFrame, tile: int, overlap: float, bands: list[int] | None = None) -> DataFrame:
-    """The windows (``PIXELS``) of files (path, content)."""
+    """The windows (``PIXELS``) of files (path, content); bands beyond a raster's become its last."""
     import io
 
     check_grid(tile, overlap)
@@ -270,7 +270,7 @@ def tiles_of(files: DataFrame, tile: int, overlap: float, bands: list[int] | Non
             for p, data in zip(*batch.columns, strict=True):
                 tiff = GeoTiff(io.BytesIO(data.as_py()))
                 for i, window in enumerate(_windows(tiff.width, tiff.height, tile, overlap)):
-                    yield _arrow_tile(_tile_row(tiff, p.as_py().rsplit("/", 1)[-1], i, window, bands))
+                    yield _arrow_tile(_tile_row(tiff, p.as_py().rsplit("/", 1)[-1], i, window, _there(tiff, bands)))
 
     return files.select("path", "content").mapInArrow(run, PIXELS)
 
@@ -328,26 +328,63 @@ class GeoTiffSource(DataSource):
         return GeoTiffReader(self.options)
 
 
-def sample_limits(path: str, samples: int = 20, size: int = 512, seed: int = 42, low: float = 2, high: float = 98) -> tuple[list[float], list[float]]:
+def sample_limits(tiff: GeoTiff, bands: list[int] | None = None, samples: int = 20, size: int = 512, seed: int = 42, low: float = 2, high: float = 98) -> tuple[list[float], list[float]]:
     """(vmin, vmax) of each band, from windows drawn with replacement; a small raster is one window."""
-    with open(path, "rb") as f:
-        tiff = GeoTiff(f)
-        rng = np.random.default_rng(seed)
-        if tiff.width <= size and tiff.height <= size:
-            places = [(0, 0)]
-        else:
-            places = [(int(rng.integers(0, max(1, tiff.width - size + 1))), int(rng.integers(0, max(1, tiff.height - size + 1)))) for _ in range(samples)]
-        parts = [tiff.window(c, r, min(size, tiff.width), min(size, tiff.height))[0].reshape(tiff.bands, -1) for c, r in places]
-        pooled = np.concatenate(parts, 1).astype(float)
-        vmin, vmax = [], []
-        for band in pooled:
-            own = band if tiff.nodata is None else band[band != tiff.nodata]
-            a, b = np.percentile(own, (low, high)) if len(own) else (0.0, 1.0)
-            vmin.append(float(a))
-            vmax.append(float(b))
+    rng = np.random.default_rng(seed)
+    if tiff.width <= size and tiff.height <= size:
+        places = [(0, 0)]
+    else:
+        places = [(int(rng.integers(0, max(1, tiff.width - size + 1))), int(rng.integers(0, max(1, tiff.height - size + 1)))) for _ in range(samples)]
+    parts = [tiff.window(c, r, min(size, tiff.width), min(size, tiff.height), bands)[0] for c, r in places]
+    pooled = np.concatenate([p.reshape(len(p), -1) for p in parts], 1).astype(float)
+    vmin, vmax = [], []
+    for band in pooled:
+        own = band if tiff.nodata is None else band[band != tiff.nodata]
+        a, b = np.percentile(own, (low, high)) if len(own) else (0.0, 1.0)
+        vmin.append(float(a))
+        vmax.append(float(b))
     return vmin, vmax
 
 
+def read_limits(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
+    """(raster_id, vmin, vmax) of every file under ``path``: a row for each raster, sampled by the task that reads it."""
+    import io
+
+    kinds = (pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, data in zip(*batch.columns, strict=True):
+                tiff = GeoTiff(io.BytesIO(data.as_py()))
+                row = (p.as_py().rsplit("/", 1)[-1], *sample_limits(tiff, _there(tiff, bands)))
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["raster_id", "vmin", "vmax"])
+
+    return _files(spark, path).mapInArrow(run, "raster_id string, vmin array<double>, vmax array<double>")
+
+
+def _there(tiff: GeoTiff, bands: list[int] | None) -> list[int] | None:
+    """Bands beyond the raster's become its last."""
+    return None if bands is None else [min(b, tiff.bands) for b in bands]
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(path, detections, error) of the files under ``path`` that aren't rasters: detections is -1, as reports count failures."""
+    import io
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for p, data in zip(*batch.columns, strict=True):
+                try:
+                    GeoTiff(io.BytesIO(data.as_py()))
+                except Exception as e:  # noqa: BLE001
+                    bad.append((p.as_py(), -1, f"{type(e).__name__}: {e}"))
+            columns = zip(*bad, strict=True) if bad else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "detections", "error"])
+
+    return _files(spark, path).mapInArrow(run, "path string, detections bigint, error string")
+
+
 def raster_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of the rasters of a folder, not of those below it."""
     glob = "*.{tif,tiff,geotiff,TIF,TIFF,GEOTIFF}"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.errors import TilewrightError
+from tilewright.functions.boxes import to_pixel
 
 REMOTE = ("http://", "https://", "s3://", "hdfs://", "viewfs://", "abfss://", "gs://", "file:")
 #: Fixed value: the assets of a catalogue item that are tried first, in this order.
@@ -68,3 +69,18 @@ def latest_item(items: DataFrame, lon: float, lat: float, start: str, end: str)
     b = F.col("bbox")
     over = (b[0] <= lon) & (b[2] >= lon) & (b[1] <= lat) & (b[3] >= lat)
     return items.where(over & F.col("datetime").between(start, end)).orderBy(F.desc("datetime"), "id").limit(1)
+
+
+def window_of(affine: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:
+    """struct<col_off, row_off, w, h>: the least window of a raster that holds an area of interest in its coordinates."""
+    corners = F.transform(
+        F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((left, top), (right, top), (right, bottom), (left, bottom))]),
+        lambda p: to_pixel(affine, p["x"], p["y"]),
+    )
+
+    def side(c: str) -> tuple[Column, Column]:
+        own = F.transform(corners, lambda p: F.round(p[c], 6))  # what rounding left of whole pixels doesn't add one
+        return F.floor(F.array_min(own)).cast("int"), F.ceil(F.array_max(own)).cast("int")
+
+    (c0, c1), (r0, r1) = side("x"), side("y")
+    return F.struct(c0.alias("col_off"), r0.alias("row_off"), (c1 - c0).alias("w"), (r1 - r0).alias("h"))

@@ -15,13 +15,14 @@ import struct
 import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.errors import ExportError
 from tilewright.functions.boxes import box
 from tilewright.functions.geo import reproject_ring
 from tilewright.functions.labels import MISSING_COLOUR
+from tilewright.operators.numbering import numbered
 
 
 def _not_empty(df: DataFrame | None) -> DataFrame:
@@ -39,8 +40,7 @@ def coco_annotations(df: DataFrame, order: str = "det_id") -> DataFrame:
     A row without a box keeps its number and gives no annotation.
     """
     x1, y1, x2, y2 = box()
-    numbered = df.withColumn("id", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
-    return numbered.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL").select(
+    return numbered(df, [order]).where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL").select(
         "id",
         F.lit(0).alias("image_id"),
         F.col("class_id").cast("int").alias("category_id"),
@@ -64,7 +64,7 @@ def to_coco(df: DataFrame, path: str, width: int | None = None, height: int | No
     with open(path, "w") as f:
         images = [{"id": 0, "file_name": os.path.basename(file_name or "image.jpg"), "width": width, "height": height}] if width and height else []
         f.write('{"images": ' + json.dumps(images) + ', "categories": ' + json.dumps([r.asDict() for r in categories(df).collect()]) + ', "annotations": [')
-        for k, r in enumerate(coco_annotations(df).toLocalIterator()):
+        for k, r in enumerate(coco_annotations(df).orderBy("id").toLocalIterator()):
             bbox = [r[c] for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h")]
             f.write("," * (k > 0) + json.dumps({"id": r["id"], "image_id": 0, "category_id": r["category_id"], "bbox": bbox, "area": r["area"], "iscrowd": 0}))
         f.write("]}")
