@@ -969,6 +969,36 @@ def _latest_item(spark, sf_dir):
     return latest_item(items, 5, 10, "1993-01-01", "1997-12-31").select("id", "provider")
 
 
+def _coco_labels_sql() -> str:
+    from tilewright.model import COCO_LABELS
+
+    values = ", ".join(f"({i}, '{n}')" for i, n in COCO_LABELS.items())
+    return f"SELECT p_partkey, coalesce(name, 'class_' || k) AS label FROM (SELECT p_partkey, p_partkey % 95 AS k FROM part) LEFT JOIN (VALUES {values}) AS t(id, name) ON k = id"
+
+
+@query("coco_labels", _coco_labels_sql())
+def _coco_labels(spark, sf_dir):
+    from tilewright.model import class_names
+
+    names = class_names({i: str(i) for i in range(1, 91)} | {0: "class_0"})  # numbers are ids of the dataset; those without a name stay numbers
+    known = {i: n for i, n in names.items() if not n.isdigit()}
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", labels.class_label((F.col("p_partkey") % 95).cast("int"), known).alias("label"))
+
+
+@query(
+    "batch_sizes",
+    """SELECT variant, device, CAST(CASE device WHEN 'cpu' THEN 1 ELSE greatest(1, least(64, floor(0.7::DOUBLE * free / (resolution * resolution * 96)))) END AS INT) AS batch
+FROM (VALUES ('nano', 384), ('small', 512), ('medium', 576), ('base', 560), ('large', 704)) AS v(variant, resolution), (VALUES ('cpu', 8589934592::BIGINT), ('cuda', 268435456::BIGINT), ('cuda:big', 8589934592::BIGINT)) AS d(device, free)""",
+)
+def _batch_sizes(spark, sf_dir):
+    from tilewright.model import VARIANTS, batch_size, variant
+
+    free = {"cpu": 1 << 33, "cuda": 1 << 28, "cuda:big": 1 << 33}
+    rows = [(v, d, batch_size(d, n, variant(v)["resolution"])) for v in VARIANTS for d, n in free.items()]
+    return spark.createDataFrame(rows, "variant string, device string, batch int")
+
+
 @query("top_classes", NAMED_SQL + "SELECT class_name, count(*) AS n FROM named GROUP BY class_name ORDER BY n DESC, class_name LIMIT 3", ("det",))
 def _top_classes(spark, sf_dir):
     return reports.top_classes(_named(spark, sf_dir), 3)
