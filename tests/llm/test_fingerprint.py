@@ -79,5 +79,5 @@ def test_repeated_rows_null_ids_and_empty_table(spark, tmp_path):
     got = rows(m.op2_fingerprint(spark, d))
     assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == [("1", 1), ("1", 5), ("1", 5), ("2", 3), ("None", 5)]
     assert {r["edited_sha256"] for r in got if r["doc_id"] == 2} == {hashlib.sha256(b"x a"[:2] + b"a").hexdigest()}
-    assert [r["near_edited"] for r in got if r["doc_id"] is None] == [1.0]
+    assert [(r["near_edited"], r["near_next"]) for r in got if r["doc_id"] is None] == [(1.0, 1.0)]
     assert rows(m.fingerprints(documents(spark, []))) == []

@@ -14,8 +14,8 @@ the two, holds every such pair. A pair counts in the first table that has it.
 
 Defined results: null text is empty; equal texts have equal fingerprints; rows
 that share an id share the next document, which is the first by text of the
-next greater id; rows with a null id have no next document and an unchanged
-edited text. Empty tables give no rows. Columns other than id and text are
+next greater id; rows with a null id have no next document, an unchanged edited
+text and likenesses of 1. Empty tables give no rows. Columns other than id and text are
 ignored.
 """
 
@@ -199,6 +199,6 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         written("hi", "lo").alias("fingerprint"),
         written("e_hi", "e_lo").alias("edited_fingerprint"),
         likeness(c("hi"), c("lo"), c("e_hi"), c("e_lo")).alias("near_edited"),
-        likeness(c("hi"), c("lo"), c("n_hi"), c("n_lo")).alias("near_next"),
+        F.when(c("id").isNull(), F.lit(1.0)).otherwise(likeness(c("hi"), c("lo"), c("n_hi"), c("n_lo"))).alias("near_next"),
         (c("n_near") - 1).alias("n_near"),
     )
