@@ -34,6 +34,94 @@ def brute_components(nodes):
     return {i: find(i) for i, _ in nodes}
 
 
+def brute_similar(docs, words=5, least=0.8):
+    """docs: (id, text); the least id of each row's component, of links by shared shingles."""
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
+            if len(a & b) >= least * len(a | b):
+                x, y = find(k), find(j)
+                root[x] = y
+    ids = [min(docs[j][0] for j in range(len(docs)) if find(j) == find(i)) for i in range(len(docs))]
+    return ids
+
+
+def edited(r, words, share):
+    """``words`` with a run of new words, which leaves about ``share`` of the five-word shingles alike."""
+    new, out = round(len(words) * (1 - share) / (1 + share)), list(words)
+    at = r.randrange(len(words) - new)
+    out[at : at + new] = [f"n{r.random()}" for _ in range(new)]
+    return out
+
+
+def test_similar_groups_against_brute_force(spark):
+    r = random.Random(8)
+    vocab = [f"w{i}é" for i in range(3000)]
+    given = [(0, None), (1, ""), (2, " \t\n"), (3, "One"), (4, "one"), (5, "one two"), (6, "a b a b"), (7, "a b"), (8, "Éa b c d"), (9, "éa b c d")]
+    for _ in range(15):
+        base = r.choices(vocab, k=r.choice([60, 300, 900]))
+        given.append((len(given), " ".join(base)))
+        for share in (0.6, 0.7, 0.9, 0.95, 0.97):
+            given.append((len(given), " ".join(edited(r, base, share)).title()))
+    long = r.choices(vocab, k=150_000)
+    given += [(len(given), " ".join(long)), (len(given) + 1, " ".join(edited(r, long, 0.93)))]
+    df = documents(spark, given).selectExpr("*", "1 AS id", "2 AS node", "3 AS f0", "4 AS key")
+    ids = [i for i, _ in given]
+    want, sure = (dict(zip(ids, brute_similar(given, least=x))) for x in (0.8, 0.9))
+    got = {x["id"]: x["component"] for x in rows(m.similar_groups(df))}
+    # no link that isn't one; from 0.9 on all are found, and nearly all of the others
+    assert len(got) == len(given) and all(want[i] == want[c] for i, c in got.items())
+    assert all(got[i] == got[c] for i, c in sure.items())
+    assert 30 < len(set(want.values())) <= len(set(got.values())) <= 1.1 * len(set(want.values()))
+    assert rows(m.similar_groups(documents(spark, []))) == []
+
+
+def test_similar_groups_of_a_chain_and_a_large_group(spark, monkeypatch):
+    """A chain links ends that are unlike; many copies of one text with an outsider near them; by the shuffle join, too."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(5000)}" for _ in range(200)]
+    given, cur = [], list(words)
+    for k in range(60):  # each step replaces two neighbours, so that far steps share little
+        given.append((1000 - k, " ".join(cur)))
+        cur[3 * k : 3 * k + 2] = [f"c{k}", f"d{k}"]
+    base = [f"v{r.randrange(5000)}" for _ in range(300)]
+    for k in range(300):
+        copy = list(base)
+        copy[k] = "other"
+        given.append((2000 + k, " ".join(copy)))
+    given.append((1, " ".join(edited(r, base, 0.7))))
+    want = dict(zip([i for i, _ in given], brute_similar(given)))
+    assert len(set(want.values())) == 3
+    for most in (m.BROADCAST_ENDS, 0):
+        monkeypatch.setattr(m, "BROADCAST_ENDS", most)
+        assert {x["id"]: x["component"] for x in rows(m.similar_groups(documents(spark, given)))} == want
+
+
+def test_wide_fingerprint_by_its_definition():
+    for text in ("", "One", "a b a b", " ".join(f"w{i % 37}" for i in range(500))):
+        w = text.encode().lower().split()
+        pairs = {b" ".join(w[i : i + 2]) for i in range(len(w) - 1)} or ({w[0]} if w else set())
+        digests = []
+        for x in pairs:
+            d = xxhash.xxh3_128_digest(x)
+            low, high = (int.from_bytes(h, "little") for h in (d[:8], d[8:]))
+            y = (low * 0x9E3779B97F4A7C15 ^ high) % 2**64
+            y = (y ^ y >> 29) * 0x9E3779B97F4A7C15 % 2**64
+            digests.append(int.from_bytes(d + (y ^ y >> 32).to_bytes(8, "little"), "big"))
+        want = sum(1 << b for b in range(192) if 2 * sum(d >> b & 1 for d in digests) > len(digests))
+        assert m.wide_fingerprint(w).tobytes() == want.to_bytes(24, "big")
+
+
 def texts(seed=3):
     r = random.Random(seed)
     vocab = [f"w{i}é" for i in range(300)]

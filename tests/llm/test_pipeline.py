@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as p
 from tests.llm.test_byte_bpe import want
 from tests.llm.test_decontaminate import ITEM, ITEMS, brute as contaminated
-from tests.llm.test_near_dedup import brute_components, brute_fingerprint
+from tests.llm.test_near_dedup import brute_similar
 from tests.llm.test_secrets import RANDOM, brute_base, given as given_secrets
 from tests.llm.test_toxicity import corpus
 from tests.llm.util import documents, folder, rows
@@ -31,8 +31,7 @@ def test_against_brute_force(spark, tmp_path):
 
     left = [(i, t) for i, t in docs if not toxic(t)]
     assert 150 < len(left) < len(docs) - 30
-    of = brute_components([(i, brute_fingerprint(t)) for i, t in left])
-    left = [(i, t) for i, t in left if of[i] == i]
+    left = [(i, t) for (i, t), least in zip(left, brute_similar(left)) if least == i]
     left = [(i, t) for i, t in left if not contaminated(t, ITEMS)[4]]
     assert not {500, 501, 502, 507, 505} & {i for i, _ in left}
 
