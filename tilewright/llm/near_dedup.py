@@ -25,10 +25,10 @@ ids that are null or repeat change who is linked.
 many five-word shingles they share (``similar_groups``), with fingerprints only to
 find candidates: 192 bits over distinct word pairs, cut into six blocks of 32. A
 text emits all values within ``BLOCK_RADIUS`` / 2 = 1 bit of each block, so two texts meet if
-any block differs by at most two bits. In every shared value all link to the
-least; the first such link of each text is verified on its shingles, and texts
-that are still in different components after that meet pair by pair. So a group
-of copies costs as much as it has members, and no pair that met is left out.
+any block differs by at most two bits. In every shared value all are held against one centre, first
+the text that meets most others, in turns until few are still in different components; those meet
+pair by pair, but for pairs whose shingles found nowhere else among them rule it out (exactly: see
+``_crossing``). So a group of copies costs as much as it has members, and no pair that met is left out.
 Meeting is by chance: of two texts at a similarity of 0.8 the blocks are expected
 to differ by 3 bits each, and at least one of six by 2 or fewer in 95 of 100 cases;
 at 0.9, in more than 99. Blocks of 32 bits are meant for up to some 10^8 distinct
@@ -48,7 +48,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import cut, table, text_hash, texts
@@ -63,6 +63,8 @@ PAIR, BLOCK_RADIUS, FAR = 2, 2, 36
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Texts to verify are found by a broadcast of their hashes (16 bytes each) up to this many, else by a shuffle join.
 BROADCAST_ENDS = 500_000
+#: Turns in which texts are held against one centre of each shared value; they end when a row has this many pairs or fewer left, or a turn doesn't halve what is left.
+STAR_TURNS, FEW_PAIRS = 6, 4
 #: Shingles hashed at a time; bounds the memory that a very long text takes.
 CHUNK = 1 << 16
 
@@ -258,19 +260,51 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([_node(words)], pa.int64()), pa.array([own], pa.list_(pa.int64()))], names=["node", "s"])
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts share SIMILARITY of their shingles; no shingles are like no shingles.
+def _sets_of(wanted: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, s): the hashes of the distinct shingles of the texts in ``wanted`` (node, distinct).
 
     ``own`` is (id, text, th); of each node, the text of its first row is read.
     """
-    pairs = cut(pairs)
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("first.id").alias("e_id"), F.col("first.th").alias("e_th")))
+    ends = cut(wanted.join(nodes, "node").select(F.col("first.id").alias("e_id"), F.col("first.th").alias("e_th")))
     few = F.broadcast(ends) if ends.count() <= BROADCAST_ENDS else ends
     read = own.join(few, (F.col("th") == F.col("e_th")) & F.col("id").eqNullSafe(F.col("e_id")), "left_semi").select("id", "text")
-    sets = cut(read.mapInArrow(_sets, "node bigint, s array<bigint>").dropDuplicates(["node"]))
+    return cut(read.mapInArrow(_sets, "node bigint, s array<bigint>").dropDuplicates(["node"]))
+
+
+def _enough(shared: Column, total: Column) -> Column:
+    """Whether two sets of ``total`` members together, of which ``shared`` are in both, are similar; no members are like no members."""
+    return shared >= SIMILARITY * (total - shared)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts share SIMILARITY of their shingles."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
-    shared, total = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
-    return cut(both.where(shared >= SIMILARITY * (total - shared)).select("a", "b"))
+    return cut(both.where(_enough(F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b"))).select("a", "b"))
+
+
+def _crossing(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``apart`` (key, node, root) that share a key, not a root, and may be similar.
+
+    A shingle that only one of these texts has is in no intersection. So what two texts can share is at most the
+    smaller of their other shingles, and pairs for which that isn't enough go before anything is joined to them; a text
+    for which it isn't enough with the smallest set of a shared value leaves that value. No similar pair goes.
+    """
+    once = sets.select("node", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    lone = once.groupBy("node").agg(F.count("*").alias("lone"))
+    reach = sets.select("node", F.size("s").alias("size")).join(lone, "node", "left")
+    sized = cut(apart.select("key", "node", "root").join(reach.select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("reach")), "node"))
+    least = sized.groupBy("key").agg(F.min("size").alias("least"))
+    able = sized.join(least, "key").where(_enough(F.col("reach"), F.col("size") + F.greatest("least", "reach")))
+    able = cut(able.select("key", "node", "root", "size", "reach"))
+    x, y = able.alias("x"), able.alias("y")
+    may = _enough(F.least("x.reach", "y.reach"), F.col("x.size") + F.col("y.size"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & may)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    """The links (a, b) that make the components of ``roots``."""
+    return roots.where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b"))
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -282,26 +316,39 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = (nodes.select(F.col("node").alias(x), *[F.col(f).alias(x + f) for f in WORDS]) for x in "ab")
-        apart = sum(F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in WORDS)
-        return pairs.join(a, "a").join(b, "b").where(apart <= FAR).select("a", "b")
+        bits = sum(F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in WORDS)
+        return pairs.join(a, "a").join(b, "b").where(bits <= FAR).select(*pairs.columns)
 
     halves = [half for f in WORDS for half in (F.shiftrightunsigned(f, 32), F.col(f).bitwiseAND(F.lit(0xFFFFFFFF)))]
     blocks = F.array(*[h.bitwiseOR(F.lit(i << 32)) for i, h in enumerate(halves)])
     masks = F.array(*[F.lit(m).cast("bigint") for m in _bits(BLOCK_RADIUS // 2, 32)])
     points = nodes.select("node", F.explode(blocks).alias("k")).select("node", "k", F.explode(masks).alias("m")).select(F.col("k").bitwiseXOR(F.col("m")).alias("key"), "node")
-    centre = points.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    met = cut(points.join(centre, "key"))
-    stars = near(met.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    roots = cut(components(_alike(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, own)))
+    shared = points.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(points.join(shared, "key"))
+    # the text that meets most others, likely what the rest were made from, comes first; then others by a hash of the round
+    most = met.groupBy("node").agg(F.sum("n").alias("rank"))
+    apart = cut(met.drop("n").join(most, "node").withColumn("root", F.col("node")))
+    roots, before = None, float("inf")
+    for turn in range(1, STAR_TURNS + 1):
+        centre = apart.groupBy("key").agg(F.max(F.struct("rank", "node", "root")).alias("c"))
+        stars = apart.join(centre, "key").where("root != c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b"), "c.rank").distinct()
+        pairs = cut(near(stars).groupBy("b").agg(F.max(F.struct("rank", "a")).alias("c")).select("c.a", "b"))
+        found = _alike(pairs, _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, own))
+        roots = cut(components(found if roots is None else found.unionByName(_edges(roots))))
+        placed = apart.drop("root", "rank").join(roots.withColumnRenamed("id", "node"), "node", "left")
+        placed = cut(placed.select("key", "node", F.coalesce("root", "node").alias("root"), F.xxhash64("node", F.lit(turn)).alias("rank")))
+        sizes = placed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        mixed = cut(sizes.where("own < n * n"))
+        apart = cut(placed.join(mixed, "key", "left_semi"))
+        rows, left = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
+        if left <= FEW_PAIRS * rows or left > before / 2:
+            break
+        before = left
     # what is still apart meets pair by pair
-    placed = met.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    rest = cut(placed.join(mixed, "key", "left_semi"))
-    x, y = rest.alias("x"), rest.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    late = _alike(near(crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), nodes, own)
+    sets = _sets_of(apart.select("node").distinct(), nodes, own)
+    late = _alike(near(_crossing(apart, sets)), sets)
     if not late.isEmpty():
-        roots = components(late.unionByName(roots.where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b"))))
+        roots = components(late.unionByName(_edges(roots)))
     rooted = nodes.join(roots.withColumnRenamed("id", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).withColumnRenamed("root", "f_root")
     return marked, rooted.drop("first").join(firsts, F.col("root") == F.col("f_root")).select(F.col("node").alias("n_node"), "first")
