@@ -107,6 +107,30 @@ def test_similar_groups_of_a_chain_and_a_large_group(spark, monkeypatch):
         assert {x["id"]: x["component"] for x in rows(m.similar_groups(documents(spark, given)))} == want
 
 
+def test_crossing_loses_no_similar_pair(spark):
+    """Sets around one base with edits of their own or shared ones, a lone set and an empty one: all similar pairs are left, some others go."""
+    r = random.Random(11)
+    base, given = list(range(60)), [(0, 0, []), (1, 1, [10**6 + i for i in range(40)])]
+    for i in range(2, 50):
+        own = set(r.sample(base, r.randrange(45, 61)))
+        own |= {1000 * i + k for k in range(r.randrange(0, 14))} | {5000 + r.randrange(6) for _ in range(r.randrange(0, 5))}
+        given.append((i, i % 7, sorted(own)))
+    sets = spark.createDataFrame([(i, s) for i, _, s in given], "node bigint, s array<bigint>")
+    apart = spark.createDataFrame([(k, i, root) for i, root, _ in given for k in (1, 2) if i % 3 or k == 1], "key bigint, node bigint, root bigint")
+
+    def alike(a, b):
+        shared = len(set(a) & set(b))
+        return shared >= m.SIMILARITY * (len(a) + len(b) - shared)
+
+    across = {tuple(sorted((i, j))) for i, x, _ in given for j, y, _ in given if x < y}
+    of = {i: s for i, _, s in given}
+    want = {p for p in across if alike(of[p[0]], of[p[1]])}
+    pairs = m._crossing(apart, sets)
+    found = {tuple(sorted((x["a"], x["b"]))) for x in rows(pairs)}
+    assert want <= found < across and len(want) > 20
+    assert {tuple(sorted((x["a"], x["b"]))) for x in rows(m._alike(pairs, sets))} == want
+
+
 def test_wide_fingerprint_by_its_definition():
     for text in ("", "One", "a b a b", " ".join(f"w{i % 37}" for i in range(500))):
         w = text.encode().lower().split()
