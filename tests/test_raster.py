@@ -237,6 +237,21 @@ def test_block_split_golden(spark):
     assert not any(abs(a.gx - b.gx) <= 1 and abs(a.gy - b.gy) <= 1 and a.split != b.split for a in done for b in done)
 
 
+def _many_tiles(spark):
+    """Tiles whose number a plan can't tell beforehand: its estimate is that of the few rows they are exploded from."""
+    r = spark.range(60).repartition(3).selectExpr("id AS raster_id", "CAST(300 + id % 7 * 50 AS INT) AS width", "CAST(300 + id % 5 * 50 AS INT) AS height")
+    return grid.tile_grid(r.withColumn("size", F.struct("width", "height")), 32, 0.0, keep=("raster_id", "size")).select("*", "size.width", "size.height").drop("size")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_block_split_takes_no_broadcast(spark):
+    plan = _plan(split.block_split(_many_tiles(spark), 32))
+    assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_random_split_and_checks(spark):
     tiles = spark.range(100).selectExpr("'r' AS raster_id", "CAST(id AS INT) AS tile_idx")
     with pytest.warns(UserWarning):

@@ -75,26 +75,28 @@ def block_split(
     check_split("block", ratios)
     own = blocks(tiles, tile, raster)
     key = [raster, "block_x", "block_y"]
-    each = own.select(*key).distinct()
     if order == "portable":
+        # all windows are over a raster's tiles: one shuffle, and no join whose sides a plan may take for small ones
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block_x").cast("string"), F.col("block_y").cast("string")))
-        rank = F.row_number().over(Window.partitionBy(raster).orderBy(digest, "block_x", "block_y"))
-        dealt = each.select(*key, rank.alias("rank"))
+        rank = F.dense_rank().over(Window.partitionBy(raster).orderBy(digest, "block_x", "block_y"))
+        dealt = own.withColumn("__rank", rank).withColumn("__n", F.max("__rank").over(Window.partitionBy(raster)))
+        split = dealt.withColumn("split", _dealt(F.col("__rank"), F.col("__n"), ratios)).drop("__rank", "__n").dropna(subset=key)
     else:
-        listed = sorted(tuple(r) for r in each.collect())
+        listed = sorted(tuple(r) for r in own.select(*key).distinct().collect())
         if len({r[0] for r in listed}) > 1:
             raise ValueError("parity order is for one raster")
         places = list(range(len(listed)))
         np.random.RandomState(seed).shuffle(places)
-        kind = dict(each.dtypes)[raster]
+        kind = dict(own.dtypes)[raster]
         rows = [(*listed[p], i + 1) for i, p in enumerate(places)]
         dealt = tiles.sparkSession.createDataFrame(rows, f"{raster} {kind}, block_x int, block_y int, rank int")
-    n = F.count("*").over(Window.partitionBy(raster))
-    named = dealt.select(*key, F.when(n <= 2, F.lit("train")).otherwise(_by_rank(F.col("rank"), n, ratios, 1)).alias("split"))
-    split = own.join(named, key)
-    if buffer:
-        split = mark_buffer(cut(split), buffer, raster)
-    return split
+        split = own.join(dealt.select(*key, _dealt(F.col("rank"), F.lit(len(rows)), ratios).alias("split")), key)
+    return mark_buffer(cut(split), buffer, raster) if buffer else split
+
+
+def _dealt(rank: Column, n: Column, ratios: tuple[float, float, float]) -> Column:
+    """The split of the rank-th of n blocks."""
+    return F.when(n <= 2, F.lit("train")).otherwise(_by_rank(rank, n, ratios, 1))
 
 
 def mark_buffer(split: DataFrame, buffer: int, raster: str = "raster_id") -> DataFrame:
