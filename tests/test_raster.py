@@ -252,6 +252,11 @@ def test_block_split_takes_no_broadcast(spark):
     assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_split_stats_takes_no_broadcast(spark):
+    plan = _plan(split.block_split(_many_tiles(spark), 32).groupBy("split").agg(F.count("*"), F.count_distinct("raster_id")))
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
 def test_random_split_and_checks(spark):
     tiles = spark.range(100).selectExpr("'r' AS raster_id", "CAST(id AS INT) AS tile_idx")
     with pytest.warns(UserWarning):
