@@ -252,6 +252,19 @@ def test_block_split_takes_no_broadcast(spark):
     assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_split_buffer_takes_no_broadcast(spark):
+    tiles = _many_tiles(spark)
+    plan = _plan(split.block_split(tiles, 32, buffer=2))
+    assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    plain = {(x.raster_id, x.tile_idx): x for x in split.block_split(tiles, 32).collect()}
+    cells = {(x.raster_id, x.gx, x.gy): x.split for x in plain.values()}
+    around = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+    for x in split.block_split(tiles, 32, buffer=2).collect():
+        own = plain[x.raster_id, x.tile_idx].split
+        close = any(cells.get((x.raster_id, x.gx + dx, x.gy + dy), own) != own for dx, dy in around)
+        assert x.split == ("buffer" if close else own)
+
+
 def test_split_stats_takes_no_broadcast(spark):
     plan = _plan(split.block_split(_many_tiles(spark), 32).groupBy("split").agg(F.count("*"), F.count_distinct("raster_id")))
     assert "Broadcast" not in plan and "Join" not in plan

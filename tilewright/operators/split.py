@@ -9,8 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.plans.state import cut
-
 SPLITS = ("train", "val", "test")
 
 
@@ -91,7 +89,7 @@ def block_split(
         rows = [(*listed[p], i + 1) for i, p in enumerate(places)]
         dealt = tiles.sparkSession.createDataFrame(rows, f"{raster} {kind}, block_x int, block_y int, rank int")
         split = own.join(dealt.select(*key, _dealt(F.col("rank"), F.lit(len(rows)), ratios).alias("split")), key)
-    return mark_buffer(cut(split), buffer, raster) if buffer else split
+    return mark_buffer(split, buffer, raster) if buffer else split
 
 
 def _dealt(rank: Column, n: Column, ratios: tuple[float, float, float]) -> Column:
@@ -100,12 +98,16 @@ def _dealt(rank: Column, n: Column, ratios: tuple[float, float, float]) -> Colum
 
 
 def mark_buffer(split: DataFrame, buffer: int, raster: str = "raster_id") -> DataFrame:
-    """Tiles with a cell of another split within ``buffer`` cells become ``buffer``."""
-    cells = split.select(raster, F.col("gx").alias("nx"), F.col("gy").alias("ny"), F.col("split").alias("n_split")).distinct()
-    shifts = [(dx, dy) for dx in range(-buffer, buffer + 1) for dy in range(-buffer, buffer + 1)]
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in shifts]))
-    looks = split.select(raster, "gx", "gy", "split").distinct().select("*", around.alias("d"))
-    looks = looks.select(raster, "gx", "gy", "split", (F.col("gx") + F.col("d.dx")).alias("nx"), (F.col("gy") + F.col("d.dy")).alias("ny"))
-    close = looks.join(cells, [raster, "nx", "ny"]).where("split != n_split").select(raster, "gx", "gy", "split").distinct()
-    marked = split.join(close.withColumn("__close", F.lit(True)), [raster, "gx", "gy", "split"], "left")
-    return marked.withColumn("split", F.when(F.col("__close"), "buffer").otherwise(F.col("split"))).drop("__close").select(split.columns)
+    """Tiles with a cell of another split within ``buffer`` cells become ``buffer``.
+
+    Each tile looks into the columns of cells up to ``buffer`` to either side,
+    where a range of rows gives the least and the greatest split around it.
+    Columns are dealt out by raster, so no further shuffle follows a split's own
+    and nothing is joined.
+    """
+    shifts = F.array(*[F.lit(dx) for dx in range(-buffer, buffer + 1)])
+    looks = split.select("*", F.explode(shifts).alias("__dx")).withColumn("__x", F.col("gx") + F.col("__dx"))
+    around = Window.partitionBy(raster, "__x").orderBy("gy").rangeBetween(-buffer, buffer)
+    other = F.min("split").over(around) != F.max("split").over(around)
+    own = looks.withColumn("__other", other).where("__dx = 0")
+    return own.withColumn("split", F.when(F.col("__other") & F.col(raster).isNotNull() & F.col("gx").isNotNull() & F.col("gy").isNotNull(), "buffer").otherwise(F.col("split"))).select(split.columns)
