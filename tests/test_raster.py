@@ -237,6 +237,26 @@ def test_block_split_golden(spark):
     assert not any(abs(a.gx - b.gx) <= 1 and abs(a.gy - b.gy) <= 1 and a.split != b.split for a in done for b in done)
 
 
+def test_nms_regions(spark):
+    rng = np.random.default_rng(5)
+    at, by = rng.integers(0, 700, (900, 2)), rng.integers(20, 130, (900, 2))
+    rows = [(1, i, i % 2, float(rng.integers(0, 9)), *map(float, at[i]), *map(float, at[i] + by[i])) for i in range(900)]
+    rows += [(1, 900 + i, 0, 5.0, 10.0, 10.0, 10.0, 60.0) for i in range(2)]  # without an area: both stay
+    for threshold in (0.01, 0.3, 0.7):
+        want = kept(spark, rows, threshold, strategy="grouped")
+        assert kept(spark, rows, threshold, strategy="regions") == kept(spark, rows, threshold, max_group=90) == want
+    d = spark.createDataFrame([(r[1], 0, *r[3:]) for r in rows], "det_id long, k int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    for size in (50.0, 200.0):  # most boxes are in several regions
+        got = nms._regions(d, 0.05, ["k"], "confidence", "det_id", size)
+        assert sorted(r.det_id for r in got.collect()) == sorted(r.det_id for r in nms.nms(d, 0.05, ["k"], strategy="grouped").collect())
+
+
+def test_nms_of_large_groups_writes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nms, "overlaps", lambda *_: pytest.fail("pairs grow with the square of a group"))
+    d = spark.range(3000).selectExpr("id AS det_id", "0 AS k", "id / 3000 AS confidence", "0D AS x1", "0D AS y1", "10D AS x2", "10D AS y2")
+    assert [r.det_id for r in nms.nms(d, 0.01, ["k"], max_group=1000).collect()] == [2999]
+
+
 def _many_tiles(spark):
     """Tiles whose number a plan can't tell beforehand: its estimate is that of the few rows they are exploded from."""
     r = spark.range(60).repartition(3).selectExpr("id AS raster_id", "CAST(300 + id % 7 * 50 AS INT) AS width", "CAST(300 + id % 5 * 50 AS INT) AS height")

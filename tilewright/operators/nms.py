@@ -10,8 +10,11 @@ threshold. All strategies return the same boxes:
   neighbour of higher rank and drops the neighbours of those (the
   lexicographically first maximal independent set; Blelloch, Fineman and Shun,
   2012);
+* ``regions``: for groups of any size and of any number of overlaps, as none is
+  written down: squares of a grid are walked by rank in tasks of their own,
+  and boxes in several squares wait until all of these agree;
 * ``fold``: array functions only, for small groups;
-* ``auto``: groups of more than ``MAX_GROUP`` boxes by rounds, the rest grouped.
+* ``auto``: groups of more than ``MAX_GROUP`` boxes by regions, the rest grouped.
 
 Filters on confidence, class and raster commute with suppression and belong
 below it: Catalyst doesn't move filters through grouped pandas functions.
@@ -19,18 +22,23 @@ below it: Catalyst doesn't move filters through grouped pandas functions.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.boxes import SIDES, iou
-from tilewright.operators.pairs import meeting
+from tilewright.operators.pairs import BIN, binned, meeting
 from tilewright.plans.state import cut
 
 MAX_GROUP = 20_000
+#: Side of a region's square.
+REGION = 4 * BIN
+#: What a region says of a box: it goes, nothing of the region stops it, it depends on boxes that wait.
+GOES, CLEAR, WAITS = 0, 1, 2
 
 
 def greedy(boxes: np.ndarray, threshold: float) -> np.ndarray:
@@ -96,6 +104,80 @@ def _rounds(df: DataFrame, threshold: float, keys: list[str], score: str, tie: s
     return df if dropped is None else df.join(dropped, F.col(tie) == F.col("gone"), "left_anti")
 
 
+def _walk(above: np.ndarray, sure: np.ndarray, boxes: np.ndarray, stays: np.ndarray, alone: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a region says of ``boxes``, which follow ``above`` in rank, and the next ``above`` and ``sure``.
+
+    ``above`` are boxes that stay (``sure``) or may stay; of ``boxes``, some are known to stay, and some are in this
+    region alone, so what it says of them is so.
+    """
+    own, first = np.concatenate([above, boxes]), len(above)
+    x1, y1, x2, y2 = own.T
+    areas = (x2 - x1) * (y2 - y1)
+    certain, fixed = np.concatenate([sure, stays]), np.concatenate([np.ones(first, bool), stays])
+    gone, waits = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    for i in range(len(own)):
+        if gone[i]:
+            continue
+        if not fixed[i]:
+            certain[i] = alone[i - first] and not waits[i]
+        start = max(i + 1, first)
+        rest = np.flatnonzero(~(gone[start:] | fixed[start:])) + start
+        w = np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest])
+        h = np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest])
+        both = np.where((w > 0) & (h > 0), w * h, 0.0)
+        union = areas[i] + areas[rest] - both
+        over = rest[np.divide(both, union, out=np.zeros_like(both), where=union > 0) > threshold]
+        (gone if certain[i] else waits)[over] = True
+    said = np.where(gone, GOES, np.where(waits, WAITS, CLEAR)).astype(np.int8)[first:]
+    return said, own[~gone], certain[~gone]
+
+
+def _judge(threshold: float, tie: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Regions' rows by rank, one region after the other, to (tie, said) of those not known to stay; holds a batch and what may stay of a region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, sure = np.zeros((0, 4)), np.zeros(0, bool)
+        for batch in batches:
+            new, stays, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__new", "__stays", "__alone"))
+            boxes = np.column_stack([batch.column(s).to_numpy() for s in SIDES])
+            said = np.zeros(len(boxes), np.int8)
+            bounds = sorted({0, *np.flatnonzero(new).tolist(), len(boxes)})
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if new[a]:
+                    above, sure = above[:0], sure[:0]
+                said[a:b], above, sure = _walk(above, sure, boxes[a:b], stays[a:b], alone[a:b], threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(tie), pa.array(said)], names=[tie, "said"]).filter(pa.array(~stays))
+
+    return run
+
+
+def _regions(df: DataFrame, threshold: float, keys: list[str], score: str, tie: str, size: float = REGION) -> DataFrame:
+    """A box goes if one of its regions says so, and stays if all find it clear; the others wait for the next round.
+
+    Each round decides at least the highest box that waits. Boxes that go leave at once, so the state is what may stay.
+    """
+    meets = F.lit(True)  # boxes without an area, or an end, overlap none
+    for low, high in ((SIDES[0], SIDES[2]), (SIDES[1], SIDES[3])):
+        a, b = F.col(low).cast("double"), F.col(high).cast("double")
+        meets = meets & F.coalesce((b > a) & (a > float("-inf")) & (b < float("inf")), F.lit(False))
+    rank = F.nanvl(F.col(score), F.lit(None)) if dict(df.dtypes)[score] in ("float", "double") else F.col(score)  # NaN is last, as null
+    state = df.where(meets).select(*keys, *[F.col(s).cast("double").alias(s) for s in SIDES], rank.alias("__rank"), tie, F.lit(False).alias("__stays"))
+    place = [*keys, "__bx", "__by"]
+    walked = Window.partitionBy(*place).orderBy(F.desc_nulls_last("__rank"), F.asc_nulls_last(tie))
+    same = lambda low, high: F.floor(F.col(low) / size) == F.floor(F.col(high) / size)
+    while True:
+        rows = binned(state.withColumn("__alone", same(SIDES[0], SIDES[2]) & same(SIDES[1], SIDES[3])), SIDES, size)
+        rows = rows.withColumn("__open", F.max(~F.col("__stays")).over(Window.partitionBy(*place))).where("__open")
+        rows = rows.withColumn("__new", F.row_number().over(walked) == 1).select(*SIDES, tie, "__stays", "__alone", "__new")
+        said = rows.mapInArrow(_judge(threshold, tie), f"`{tie}` {dict(df.dtypes)[tie]}, said tinyint")
+        said = said.groupBy(F.col(tie).alias("__tie")).agg(F.min("said").alias("least"), F.max("said").alias("most")).where(F.col("least") != GOES)
+        decided = state.where("NOT __stays").join(said.hint("merge"), F.col(tie) == F.col("__tie")).withColumn("__stays", F.col("most") == CLEAR)
+        state = cut(state.where("__stays").unionByName(decided.select(state.columns)))
+        if state.where("NOT __stays").isEmpty():
+            stay = state.select(F.col(tie).alias("__tie"))
+            return df.where(meets).join(stay.hint("merge"), F.col(tie) == F.col("__tie"), "left_semi").unionByName(df.where(~meets))
+
+
 def nms(
     df: DataFrame,
     threshold: float = 0.5,
@@ -107,7 +189,7 @@ def nms(
 ) -> DataFrame:
     """The rows of ``df`` (x1, y1, x2, y2, ``score``, ``tie``) that stay; ``tie`` is unique."""
     own = list(keys)
-    ways = {"grouped": _grouped, "fold": _fold, "rounds": _rounds}
+    ways = {"grouped": _grouped, "fold": _fold, "rounds": _rounds, "regions": _regions}
     if strategy in ways:
         return ways[strategy](df, threshold, own, score, tie)
     if strategy != "auto":
@@ -117,7 +199,7 @@ def nms(
         return _grouped(df, threshold, own, score, tie)
     big = cut(big)
     small = _grouped(df.join(big, own, "left_anti").select(df.columns), threshold, own, score, tie)
-    return small.unionByName(_rounds(df.join(big, own, "left_semi").select(df.columns), threshold, own, score, tie))
+    return small.unionByName(_regions(df.join(big, own, "left_semi").select(df.columns), threshold, own, score, tie))
 
 
 def ranked(df: DataFrame, keys: Iterable[str], score: str = "confidence", tie: str = "det_id") -> DataFrame:
