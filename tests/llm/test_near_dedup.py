@@ -217,3 +217,20 @@ def test_stage_knows_rows_by_id_and_text(spark):
     ])
     by = {(r["id"], r["fp"]): r["component"] for r in rows(m.near_duplicate_groups(df))}
     assert [by[i, m._signed(brute_fingerprint(t))] for i, t in given] == [1, 1, 1, 2, 1, 1, 1, None, None, None, 7, 7]
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    plans, cut = [], m.cut
+
+    def noted(df):
+        done = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(m, "cut", noted)
+    words = "one two three four five six seven eight nine ten".split()
+    docs = documents(spark, [(i, " ".join(words * 20) + f" w{i // 3} x{i % 2}") for i in range(40)])
+    found = m.near_duplicate_groups(docs, hot=2)
+    assert found.count() == 40
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)

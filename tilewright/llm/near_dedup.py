@@ -111,6 +111,11 @@ def _bits(weight: int, width: int) -> list[int]:
     return [0, *one, *([a | b for i, a in enumerate(one) for b in one[:i]] if weight == 2 else [])]
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a join's side that grows with the corpus: never collected on the driver to be broadcast, whatever a plan takes its size for."""
+    return df.hint("merge")
+
+
 def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): links between the ids of ``nodes`` (id, fp; fp distinct) that connect all within RADIUS bits.
 
@@ -127,8 +132,8 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     )
     crowded = exact.groupBy("half", "v").count().where(F.col("count") > hot).select("half", "v")
     crowded = cut(crowded)
-    cold = exact.join(crowded, ["half", "v"], "left_anti")
-    a, b = cold.alias("a"), near.alias("b")
+    cold = exact.join(_shuffled(crowded), ["half", "v"], "left_anti")
+    a, b = cold.alias("a"), _shuffled(near.alias("b"))
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS
     pairs = a.join(
         b,
@@ -137,14 +142,14 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     if crowded.isEmpty():
         return pairs.distinct()
     # the exact way for crowded buckets
-    theirs = near.join(crowded, ["half", "v"], "left_semi").select("id", "fp").distinct()
+    theirs = near.join(_shuffled(crowded), ["half", "v"], "left_semi").select("id", "fp").distinct()
     masks = F.array(*[F.lit(_signed(m)) for m in _bits(2, 64)])
     balls = theirs.select("id", "fp", F.explode(masks).alias("m")).select(
         F.col("fp").bitwiseXOR(F.col("m")).alias("p"), "id", (F.bit_count("m") <= 1).alias("inner")
     )
     centre = balls.groupBy("p").agg(F.min(F.when(F.col("inner"), F.col("id"))).alias("centre"), F.count("*").alias("n"))
     centre = centre.where(F.col("centre").isNotNull() & (F.col("n") > 1)).select("p", "centre")
-    stars = balls.join(centre, "p").where(F.col("id") != F.col("centre"))
+    stars = balls.join(_shuffled(centre), "p").where(F.col("id") != F.col("centre"))
     stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     return pairs.unionByName(stars).distinct()
 
@@ -158,7 +163,7 @@ def components(edges: DataFrame) -> DataFrame:
         flipped = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         near = both.unionByName(flipped) if larger_only else flipped  # small-star: only neighbours below u
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = near.join(least, "u")
+        met = near.join(_shuffled(least), "u")
         if larger_only:
             out = met.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
@@ -183,15 +188,15 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[Data
     marked = cut(with_fingerprints(docs, id_col, text_col))
     nodes = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "th")).alias("first")))
     roots = components(links(nodes.select(F.col("fp").alias("id"), "fp"), hot)).withColumnRenamed("id", "node")
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(_shuffled(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).withColumnRenamed("root", "f_root")
-    return marked, rooted.drop("first").join(firsts, F.col("root") == F.col("f_root")).select(F.col("fp").alias("n_fp"), "first")
+    return marked, rooted.drop("first").join(_shuffled(firsts), F.col("root") == F.col("f_root")).select(F.col("fp").alias("n_fp"), "first")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, fp bigint, component): one row for each row of ``docs``."""
     marked, firsts = _groups(docs, id_col, text_col, hot)
-    return marked.join(firsts, F.col("fp") == F.col("n_fp"), "left").select("id", "fp", F.col("first.id").alias("component"))
+    return marked.join(_shuffled(firsts), F.col("fp") == F.col("n_fp"), "left").select("id", "fp", F.col("first.id").alias("component"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
