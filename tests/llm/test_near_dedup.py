@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from tests.llm.util import documents, rows
@@ -131,6 +132,53 @@ def test_crossing_loses_no_similar_pair(spark):
     assert {tuple(sorted((x["a"], x["b"]))) for x in rows(m._alike(pairs, sets))} == want
 
 
+def test_crossing_of_a_large_group_makes_few_pairs(spark):
+    """Edits of one base, each edit in a few of the texts, so that no shingle is alone: pairs grow with the texts, not with their square."""
+    r = random.Random(12)
+    base, given = list(range(150)), []
+    for i in range(600):
+        own = set(base)
+        for e in r.sample(range(900), r.randrange(4, 7)):  # an edit replaces five shingles in a row, always by the same five
+            own -= set(range(e % 30 * 5, e % 30 * 5 + 5))
+            own |= {10_000 + 5 * e + k for k in range(5)}
+        given.append((i, sorted(own)))
+    sets = spark.createDataFrame(given, "node bigint, s array<bigint>")
+    apart = spark.createDataFrame([(1, i, i) for i, _ in given], "key bigint, node bigint, root bigint")
+    of = {i: set(s) for i, s in given}
+    want = {(i, j) for j in of for i in range(j) if len(of[i] & of[j]) >= m.SIMILARITY * len(of[i] | of[j])}
+    found = {(x["a"], x["b"]) for x in rows(m._crossing(apart, sets))}
+    assert want <= found and len(found) < 20 * len(given)
+
+
+def test_band_keys_by_their_definition():
+    assert len(m.band_keys(np.zeros(0, np.uint64))) == 0
+    r, mask = random.Random(13), 2**64 - 1
+    hashes = [r.getrandbits(64) for _ in range(3000)]
+    least = [min(h * int(f) & mask for h in hashes) for f in m.FACTORS]
+    want = []
+    for band in range(m.BANDS):
+        key = band
+        for k in range(m.ROWS):
+            key = (key ^ least[k * m.BANDS + band]) * int(m.MIX) & mask
+            key ^= key >> 32
+        want.append(m._signed(key))
+    assert m.band_keys(np.array(hashes, np.uint64)).tolist() == want
+
+
+def test_texts_at_the_least_similarity_meet():
+    """Sets of 40 to 400 of which 0.8 is shared have a band in common; of two that share a tenth, hardly any do."""
+    r, met = np.random.default_rng(14), {0.8: 0, 0.1: 0}
+    for _ in range(1000):
+        for share in met:
+            n = int(r.integers(40, 400))
+            h = r.integers(0, 1 << 64, 2 * n, np.uint64)
+            alike = round(share * n)
+            a, b = h[:n], np.concatenate([h[:alike], h[n : n + (n - alike) // 2]])
+            a = a[: alike + (n - alike) // 2 + (n - alike) % 2]
+            met[share] += bool(np.intersect1d(m.band_keys(a), m.band_keys(b)).size)
+    assert met[0.8] >= 998 and met[0.1] <= 3
+
+
 def test_wide_fingerprint_by_its_definition():
     for text in ("", "One", "a b a b", " ".join(f"w{i % 37}" for i in range(500))):
         w = text.encode().lower().split()

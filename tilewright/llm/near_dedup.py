@@ -22,17 +22,14 @@ The nodes of the graph are the distinct fingerprints, so neither copies nor
 ids that are null or repeat change who is linked.
 
 ``op6_near_dedup`` links by this rule. The pipeline's stage links texts by how
-many five-word shingles they share (``similar_groups``), with fingerprints only to
-find candidates: 192 bits over distinct word pairs, cut into six blocks of 32. A
-text emits all values within ``BLOCK_RADIUS`` / 2 = 1 bit of each block, so two texts meet if
-any block differs by at most two bits. In every shared value all are held against one centre, first
-the text that meets most others, in turns until few are still in different components; those meet
-pair by pair, but for pairs whose shingles found nowhere else among them rule it out (exactly: see
-``_crossing``). So a group of copies costs as much as it has members, and no pair that met is left out.
-Meeting is by chance: of two texts at a similarity of 0.8 the blocks are expected
-to differ by 3 bits each, and at least one of six by 2 or fewer in 95 of 100 cases;
-at 0.9, in more than 99. Blocks of 32 bits are meant for up to some 10^8 distinct
-texts; with N, N^2 / 2^22 pairs meet that have nothing in common.
+many five-word shingles they share (``similar_groups``). Candidates meet if all ``ROWS`` least hashes
+(MinHash) of one of ``BANDS`` bands agree, so each text has that many keys. In every shared value all are held
+against one centre, first the text that meets most others, in turns until few are still in different
+components. What is still apart then is joined exactly (``_crossing``): shingles in one order, the rarer first, and
+two texts meet in a shingle only if what follows it in both is enough. So a group of copies costs as much as it
+has members, and no pair that met is left out.
+Meeting is by chance: of two texts at a similarity of 0.8, 24 bands of 5 miss one in 13,000 by expectation; at 0.9,
+none to speak of. Keys have 64 bits, so texts that have nothing in common don't meet however many there are.
 
 Defined results: null or empty text has fingerprint zero and links like any
 other; each row has the component of its own text, also where rows share an id;
@@ -48,7 +45,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import cut, table, text_hash, texts
@@ -57,10 +54,13 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 HOT = 64
 #: The stage's rule: texts link if they share this part of their distinct shingles of so many words.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Candidates: words in a fingerprint's shingle, bits by which a block may differ, and all 192 bits (at 0.8, 18 are expected).
-PAIR, BLOCK_RADIUS, FAR = 2, 2, 36
+#: Candidates: bands, and least hashes in each; words in a fingerprint's shingle, and bits by which all 192 may differ (at 0.8, 18 are expected).
+BANDS, ROWS = 24, 5
+PAIR, FAR = 2, 36
 #: An odd constant, 2^64 by the golden ratio.
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd constants, one for each least hash.
+FACTORS = np.random.default_rng(7).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 #: Texts to verify are found by a broadcast of their hashes (16 bytes each) up to this many, else by a shuffle join.
 BROADCAST_ENDS = 500_000
 #: Turns in which texts are held against one centre of each shared value; they end when a row has this many pairs or fewer left, or a turn doesn't halve what is left.
@@ -240,20 +240,36 @@ def wide_fingerprint(words: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes)).view(np.int64)
 
 
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The 64-bit key of each band of a set of hashes; none if the set is empty."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[at : at + 1024, None] * FACTORS).min(0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        keys = (keys ^ row) * MIX
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
 def _node(words: list[bytes]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, fps = [], []
+        nodes, fps, keys = [], [], []
         for t in batch.column(1):
             words = _words(t.as_py())
             nodes.append(_node(words))
             fps.append(wide_fingerprint(words))
+            keys.append(band_keys(_shingles(words, SIMILAR_SHINGLE)[:, 0]))
         f = np.array(fps, np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), *(pa.array(f[:, i]) for i in range(3))], names=["id", "th", "node", *WORDS]
+            [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), *(pa.array(f[:, i]) for i in range(3)), pa.array(keys, pa.list_(pa.int64()))],
+            names=["id", "th", "node", *WORDS, "bands"],
         )
 
 
@@ -288,23 +304,30 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _crossing(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``apart`` (key, node, root) that share a key, not a root, and may be similar.
+    """(a, b): pairs of ``apart`` (key, node, root) that have not one root and may be similar.
 
-    A shingle that only one of these texts has is in no intersection. So what two texts can share is at most the
-    smaller of their other shingles, and pairs for which that isn't enough go before anything is joined to them; a text
-    for which it isn't enough with the smallest set of a shared value leaves that value. No similar pair goes.
+    A shingle that only texts of one root have is in no intersection asked for. The others are put in one order for all,
+    the rarer among these texts first. Two texts share nothing before their first common shingle, so they share
+    at most what either has from there on (``rest``); a text is listed under a shingle only if that is enough for
+    some other, and two meet there if it is enough for both. In a large group what its texts have in common comes
+    last, so they meet by what else they share. No similar pair goes.
     """
-    once = sets.select("node", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    lone = once.groupBy("node").agg(F.count("*").alias("lone"))
-    reach = sets.select("node", F.size("s").alias("size")).join(lone, "node", "left")
-    sized = cut(apart.select("key", "node", "root").join(reach.select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("reach")), "node"))
-    least = sized.groupBy("key").agg(F.min("size").alias("least"))
-    able = sized.join(least, "key").where(_enough(F.col("reach"), F.col("size") + F.greatest("least", "reach")))
-    able = cut(able.select("key", "node", "root", "size", "reach"))
-    x, y = able.alias("x"), able.alias("y")
-    may = _enough(F.least("x.reach", "y.reach"), F.col("x.size") + F.col("y.size"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & may)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    own = sets.join(_shuffled(apart.select("node", "root").distinct()), "node")
+    items = own.select("node", "root", F.size("s").alias("size"), F.explode("s").alias("key"))
+    common = items.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    last = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key")))
+    listed = items.join(_shuffled(cut(common.select("key", "n"))), "key").withColumn("rest", last).drop("n").where(_enough(F.col("rest"), F.col("size") + F.col("rest")))
+    listed = cut(listed)
+    smallest = listed.groupBy("key").agg(F.min("size").alias("smallest"))
+    able = cut(listed.join(_shuffled(smallest), "key").where(_enough(F.col("rest"), F.col("size") + F.greatest("smallest", "rest"))).drop("smallest"))
+    # a shingle's most frequent root is met by the others only, so a large component isn't held against itself
+    of_roots = able.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"))
+    mixed = cut(able.join(_shuffled(of_roots.where("roots > 1").select("key", "main")), "key"))
+    x, y = mixed.where("root != main").alias("x"), _shuffled(mixed).alias("y")
+    may = _enough(F.least("x.rest", "y.rest"), F.col("x.size") + F.col("y.size"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.root") < F.col("y.root"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & may)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _edges(roots: DataFrame) -> DataFrame:
@@ -315,21 +338,18 @@ def _edges(roots: DataFrame) -> DataFrame:
 def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, th, node, ...) of each row, and (n_node, first): of each node, the first row of its component as (no id, id, th)."""
     own = texts(docs, id_col, text_col).withColumn("th", text_hash("text"))
-    marked = cut(own.mapInArrow(_mark, f"id {dict(own.dtypes)['id']}, th bigint, node bigint, f0 bigint, f1 bigint, f2 bigint"))
+    marked = cut(own.mapInArrow(_mark, f"id {dict(own.dtypes)['id']}, th bigint, node bigint, f0 bigint, f1 bigint, f2 bigint, bands array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "th")).alias("first")
-    nodes = cut(marked.groupBy("node").agg(first, *[F.min(f).alias(f) for f in WORDS]))
+    nodes = cut(marked.groupBy("node").agg(first, *[F.min(f).alias(f) for f in WORDS], F.first("bands").alias("bands")))
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = (nodes.select(F.col("node").alias(x), *[F.col(f).alias(x + f) for f in WORDS]) for x in "ab")
         bits = sum(F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in WORDS)
         return pairs.join(a, "a").join(b, "b").where(bits <= FAR).select(*pairs.columns)
 
-    halves = [half for f in WORDS for half in (F.shiftrightunsigned(f, 32), F.col(f).bitwiseAND(F.lit(0xFFFFFFFF)))]
-    blocks = F.array(*[h.bitwiseOR(F.lit(i << 32)) for i, h in enumerate(halves)])
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _bits(BLOCK_RADIUS // 2, 32)])
-    points = nodes.select("node", F.explode(blocks).alias("k")).select("node", "k", F.explode(masks).alias("m")).select(F.col("k").bitwiseXOR(F.col("m")).alias("key"), "node")
+    points = nodes.select(F.explode("bands").alias("key"), "node")
     shared = points.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(points.join(shared, "key"))
+    met = cut(points.join(_shuffled(shared), "key"))
     # the text that meets most others, likely what the rest were made from, comes first; then others by a hash of the round
     most = met.groupBy("node").agg(F.sum("n").alias("rank"))
     apart = cut(met.drop("n").join(most, "node").withColumn("root", F.col("node")))
@@ -349,7 +369,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         if left <= FEW_PAIRS * rows or left > before / 2:
             break
         before = left
-    # what is still apart meets pair by pair
+    # what is still apart is joined by its shingles
     sets = _sets_of(apart.select("node").distinct(), nodes, own)
     late = _alike(near(_crossing(apart, sets)), sets)
     if not late.isEmpty():
