@@ -150,6 +150,36 @@ def test_crossing_of_a_large_group_makes_few_pairs(spark):
     assert want <= found and len(found) < 20 * len(given)
 
 
+def test_crossing_of_texts_that_share_one_edit_makes_few_pairs(spark):
+    """Texts of one base that have one edit in common and six of their own are unlike, so no pair of them is made, whatever shingles they meet in; like ones stay."""
+    r = random.Random(15)
+    given = []
+    for i in range(600):
+        own, edits = set(range(300)), [i % 30, *r.sample(range(30, 60), 6)]
+        for e in edits:  # an edit replaces five shingles in a row
+            own -= set(range(5 * e, 5 * e + 5))
+        own |= {1000 + 5 * (i % 30) + k for k in range(5)} | {10_000 + 30 * i + k for k in range(30)}
+        given.append((i, sorted(own)))
+        if i % 20 == 0:  # a text like it
+            given.append((1000 + i, sorted(own - {1000 + 5 * (i % 30)} | {10**7 + i})))
+    sets = spark.createDataFrame(given, "node bigint, s array<bigint>")
+    apart = spark.createDataFrame([(1, i, i) for i, _ in given], "key bigint, node bigint, root bigint")
+    found = {(x["a"], x["b"]) for x in rows(m._crossing(apart, sets))}
+    assert {(i, 1000 + i) for i in range(0, 600, 20)} <= found and len(found) < 100
+
+
+def test_parities_are_a_least_difference(spark):
+    r = random.Random(16)
+    given = [(i, [r.getrandbits(63) - 2**62 for _ in range(n)]) for i, n in enumerate((0, 1, 40, 300, 2000))]
+    given += [(10 + i, s[: len(s) * 9 // 10] + [7 * k for k in range(len(s) // 10)]) for i, s in given]
+    spec = ", ".join(f"{c} bigint" for c in ("p_node", *m.PARITY_WORDS))
+    of = {x["p_node"]: [x[w] for w in m.PARITY_WORDS] for x in rows(spark.createDataFrame(given, "node bigint, s array<bigint>").mapInArrow(m._parities, spec))}
+    for i, a in given:
+        for j, b in given:
+            bits, differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(of[i], of[j])), len(set(a) ^ set(b))
+            assert bits <= differ and (bits >= 0.75 * differ or differ > 150)
+
+
 def test_band_keys_by_their_definition():
     assert len(m.band_keys(np.zeros(0, np.uint64))) == 0
     r, mask = random.Random(13), 2**64 - 1

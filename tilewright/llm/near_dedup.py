@@ -65,6 +65,11 @@ FACTORS = np.random.default_rng(7).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 BROADCAST_ENDS = 500_000
 #: Turns in which texts are held against one centre of each shared value; they end when a row has this many pairs or fewer left, or a turn doesn't halve what is left.
 STAR_TURNS, FEW_PAIRS = 6, 4
+#: First turns, whose centres are the texts that meet most others, each once.
+RANKED = 2
+#: Bits of a set's parities (a power of two) and the columns that hold them. They rule pairs out up to sets of about 2,000 shingles; larger sets differ by more than so few bits can tell.
+PARITIES = 1024
+PARITY_WORDS = tuple(f"p{i}" for i in range(PARITIES // 64))
 #: Shingles hashed at a time; bounds the memory that a very long text takes.
 CHUNK = 1 << 16
 
@@ -297,6 +302,17 @@ def _enough(shared: Column, total: Column) -> Column:
     return shared >= SIMILARITY * (total - shared)
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each (node, s): whether an odd number of members fall on each of PARITIES places."""
+    for batch in batches:
+        bits = np.zeros((len(batch), PARITIES), np.uint8)
+        for own, s in zip(bits, batch.column(1), strict=True):
+            places = s.values.to_numpy().view(np.uint64) * MIX >> np.uint64(64 - PARITIES.bit_length() + 1)
+            own[:] = np.bincount(places.astype(np.int64), minlength=PARITIES) & 1
+        words = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w.copy()) for w in words.T)], names=["p_node", *PARITY_WORDS])
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts share SIMILARITY of their shingles."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
@@ -310,7 +326,9 @@ def _crossing(apart: DataFrame, sets: DataFrame) -> DataFrame:
     the rarer among these texts first. Two texts share nothing before their first common shingle, so they share
     at most what either has from there on (``rest``); a text is listed under a shingle only if that is enough for
     some other, and two meet there if it is enough for both. In a large group what its texts have in common comes
-    last, so they meet by what else they share. No similar pair goes.
+    last, so they meet by what else they share. Two that meet are a pair only if their sets' parities, which differ in
+    at most as many bits as the sets in members, allow it; that is seen in the join, so the pairs it makes are nearly the
+    similar ones. No similar pair goes. Rows of a shingle are still compared with each other, by 128 bytes each.
     """
     own = sets.join(_shuffled(apart.select("node", "root").distinct()), "node")
     items = own.select("node", "root", F.size("s").alias("size"), F.explode("s").alias("key"))
@@ -322,9 +340,13 @@ def _crossing(apart: DataFrame, sets: DataFrame) -> DataFrame:
     able = cut(listed.join(_shuffled(smallest), "key").where(_enough(F.col("rest"), F.col("size") + F.greatest("smallest", "rest"))).drop("smallest"))
     # a shingle's most frequent root is met by the others only, so a large component isn't held against itself
     of_roots = able.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"))
-    mixed = cut(able.join(_shuffled(of_roots.where("roots > 1").select("key", "main")), "key"))
+    mixed = able.join(_shuffled(of_roots.where("roots > 1").select("key", "main")), "key")
+    parities = sets.select("node", "s").mapInArrow(_parities, ", ".join(f"{c} bigint" for c in ("p_node", *PARITY_WORDS)))
+    mixed = cut(mixed.join(_shuffled(parities), F.col("node") == F.col("p_node")).drop("p_node"))
     x, y = mixed.where("root != main").alias("x"), _shuffled(mixed).alias("y")
-    may = _enough(F.least("x.rest", "y.rest"), F.col("x.size") + F.col("y.size"))
+    total = F.col("x.size") + F.col("y.size")
+    apart_by = sum(F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in PARITY_WORDS)
+    may = _enough(F.least("x.rest", "y.rest"), total) & _enough((total - apart_by) / 2, total)
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.root") < F.col("y.root"))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & may)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -350,18 +372,20 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     points = nodes.select(F.explode("bands").alias("key"), "node")
     shared = points.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(points.join(_shuffled(shared), "key"))
-    # the text that meets most others, likely what the rest were made from, comes first; then others by a hash of the round
+    # the texts that meet most others, likely what the rest were made from or little else, come first; then others by a hash of the round
     most = met.groupBy("node").agg(F.sum("n").alias("rank"))
     apart = cut(met.drop("n").join(most, "node").withColumn("root", F.col("node")))
     roots, before = None, float("inf")
     for turn in range(1, STAR_TURNS + 1):
         centre = apart.groupBy("key").agg(F.max(F.struct("rank", "node", "root")).alias("c"))
-        stars = apart.join(centre, "key").where("root != c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b"), "c.rank").distinct()
+        held = apart.join(centre, "key")
+        stars = held.where("root != c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b"), "c.rank").distinct()
         pairs = cut(near(stars).groupBy("b").agg(F.max(F.struct("rank", "a")).alias("c")).select("c.a", "b"))
         found = _alike(pairs, _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, own))
         roots = cut(components(found if roots is None else found.unionByName(_edges(roots))))
-        placed = apart.drop("root", "rank").join(roots.withColumnRenamed("id", "node"), "node", "left")
-        placed = cut(placed.select("key", "node", F.coalesce("root", "node").alias("root"), F.xxhash64("node", F.lit(turn)).alias("rank")))
+        after = F.when(F.col("node") == F.col("c.node"), F.lit(-1)).otherwise(F.col("rank")) if turn < RANKED else F.xxhash64("node", F.lit(turn))
+        placed = held.select("key", "node", after.alias("rank")).join(roots.withColumnRenamed("id", "node"), "node", "left")
+        placed = cut(placed.select("key", "node", F.coalesce("root", "node").alias("root"), "rank"))
         sizes = placed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
         mixed = cut(sizes.where("own < n * n"))
         apart = cut(placed.join(mixed, "key", "left_semi"))
