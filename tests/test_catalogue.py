@@ -35,3 +35,8 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert plain(rows) == plain([tuple(r[i] for i in order) for r in want.fetchall()])
+
+
+def test_split_stats_query_takes_no_broadcast(spark, sf_dir):
+    plan = catalogue.QUERIES["split_stats"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
